@@ -29,7 +29,7 @@ def test_capacity_is_the_smallest(spark):
 
 
 def test_rows_groups_and_odd_values(spark):
-    rows = [(i, "same" if i % 3 == 0 else f"text {i}" * (1 + i % 7), "x", 1) for i in range(300)] + [(None, None, None, None), (5, "", "x", 2), (5, "", "x", 2), (999, "long " * 50_000, "x", 3)]
+    rows = [(i, "same" if i % 3 == 0 else f"text {i}" * (1 + i % 7), "x", 1) for i in range(300)] + [(None, None, None, None), (1005, "", "x", 2), (1005, "", "x", 2), (999, "long " * 50_000, "x", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, size string, shard int")
     out = shard(docs, 4).collect()
     assert len(out) == len(rows)
