@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "url_rules", "warc")
+MODULES = ("quality", "sharding", "url_rules", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
