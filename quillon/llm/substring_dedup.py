@@ -9,10 +9,10 @@ doc_id, occurrences) of each batch of documents are written as an immutable run
 FANOUT runs of a level become one of the next, with their entries merged. A batch is looked up by a merge join of
 fingerprints over the runs: those with two occurrences or more, in the batch or in history, are repeated.
 
-Verification. Only windows with a repeated fingerprint can be repeated. They are hashed whole (two independent 64-bit hashes,
-compared together); the least (doc_id, start) of each is its first occurrence and stays, every other is removed. First
-occurrences go back by document, so no copy is joined with its copies: each group is reduced to one row by partial
-aggregation, however large it is. Texts are dealt once by doc_id for both uses.
+Verification. Only windows with a repeated fingerprint can be repeated. They are hashed whole, and compared by fingerprint
+and hash together (128 bits); neighbouring windows with one fingerprint travel in one row. The least (doc_id, start) of
+each is its first occurrence and stays, every other is removed. First occurrences go back by document, so no copy is
+joined with its copies; equal rows of a batch are reduced to one before they are dealt. Texts are dealt once by doc_id for both uses.
 
 Defined cases: null text has no words and stays null; a text of fewer than WINDOW words loses nothing; null doc_id counts
 as greater than all others; rows of the same doc_id are one document, of which windows at the same start do not precede
@@ -137,22 +137,28 @@ def _fps(x: pa.Scalar) -> np.ndarray:
 
 
 def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, text, fps) -> (h, g, _id, start): of equal windows in a slice of rows only the first."""
+    """(_id, text, fps) -> (fp, _id, start, hs): a row for each run of windows with the same fingerprint, hs their hashes.
+
+    Of equal rows of a batch only that of least (_id, start) is sent: copies in a batch cost as much as one.
+    """
     for whole in batches:
-        for at in range(0, len(whole), STEP):
-            b = whole.slice(at, STEP)
-            ids = b.column("_id").to_numpy()
-            parts = []
-            for i in np.argsort(ids, kind="stable"):
-                _, hashed, starts = _candidates(b.column("text")[i].as_py(), _fps(b.column("fps")[i]))
-                if len(starts):
-                    parts.append((windows(hashed, WINDOW, 2)[starts], windows(hashed, WINDOW, 3)[starts], np.full(len(starts), ids[i]), starts.astype(np.int32)))
-            if not parts:
+        ids = whole.column("_id").to_numpy()
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+        for i in range(len(whole)):
+            fps = _fps(whole.column("fps")[i])
+            _, hashed, starts = _candidates(whole.column("text")[i].as_py(), fps)
+            if not len(starts):
                 continue
-            h, g, doc, start = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((start, doc, g, h))  # rows of one doc_id may differ, so by start within it
-            first = order[np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)])]
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(doc[first]), pa.array(start[first])], ["h", "g", "_id", "start"])
+            mine, h = fingerprints(hashed)[starts].view(np.int64), windows(hashed, WINDOW, 2)[starts].view(np.int64)
+            cut = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(mine) != 0)])
+            for at, to in zip(cut.tolist(), [*cut[1:].tolist(), len(starts)]):
+                key, place = (int(mine[at]), h[at:to].tobytes()), (int(ids[i]), int(starts[at]))
+                if place < seen.get(key, (LAST, LAST + 1)):
+                    seen[key] = place
+        if seen:
+            hs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(h) // 8 for _, h in seen)]), pa.int32()), pa.array(np.frombuffer(b"".join(h for _, h in seen), np.int64)))
+            place = np.array(list(seen.values()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in seen], pa.int64()), pa.array(place[:, 0]), pa.array(place[:, 1].astype(np.int32)), hs], ["fp", "_id", "start", "hs"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +192,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     collect_garbage(spark)
     dealt = whole.repartition(shuffle_partitions(spark), "_id")
     seen = dealt.join(repeated, "_id", "left")
-    found = seen.where(F.col("fps").isNotNull()).select("_id", "text", "fps").mapInArrow(_hash_windows, "h long, g long, _id long, start int")
-    firsts = found.groupBy("h", "g").agg(F.min(F.struct("_id", "start")).alias("f")).groupBy(F.col("f._id").alias("_id")).agg(F.collect_list("f.start").alias("firsts"))
+    found = seen.where(F.col("fps").isNotNull()).select("_id", "text", "fps").mapInArrow(_hash_windows, "fp long, _id long, start int, hs array<long>")
+    each = found.repartition(shuffle_partitions(spark), "fp").select("fp", "_id", "start", F.posexplode("hs").alias("k", "h"))
+    firsts = each.groupBy("fp", "h").agg(F.min(F.struct("_id", (F.col("start") + F.col("k")).alias("start"))).alias("f")).groupBy(F.col("f._id").alias("_id")).agg(F.collect_list("f.start").alias("firsts"))
     row = seen.join(firsts, "_id", "left").select("row", "text", "fps", "firsts")
     out = row.mapInArrow(_remove, row.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string"))
     return out
