@@ -37,26 +37,63 @@ ROOM = 4096
 AXES, BITS, HASHED = 3, 16, 4096
 SALT_BITS = 15  # with AXES * BITS: 63
 RANGES_PER_PARTITION = 4
-CACHE = 200_000
+CACHE = 500_000
+CHUNK = 64
 
 
 class Ids(dict):
-    """word -> its ids as bytes of little-endian 16-bit (small vocabularies) or 32-bit numbers."""
+    """word -> its ids as bytes of little-endian 16-bit (small vocabularies) or 32-bit numbers.
+
+    New words are tokenized together, in one text with a mark between them, which costs half of what one call a word does. A
+    word that ends in a point or comma behind a letter is tokenized without it, as the tokenizer separates letters from
+    marks, and capitals of ASCII words are lowered, as it does itself: fewer words are new.
+    """
+
+    MARK = "|"
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[word] = ids
-        return ids
-
-    def of(self, text: str | None, end: int) -> bytes:
+        self.cores: dict[str, bytes] = {}
+        self.marks = {m: self._encode(m).tobytes() for m in ("", ".", ",")}
+        self.mark = self._encode(self.MARK)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    @staticmethod
+    def core(word: str) -> tuple[str, str]:
+        mark = word[-1:] if word[-1:] in (".", ",") and "A" <= word[-2:-1] < "\u0130" and word[-2].isalpha() else ""
+        word = word[: len(word) - len(mark)]
+        return (word.lower() if word.isascii() else word), mark
+
+    def learn(self, words: set[str]) -> None:
+        parts = {w: self.core(w) for w in words}
+        new = {c for c, _ in parts.values()}.difference(self.cores)
+        odd = [c for c in new if self.MARK in c or "<|" in c or not c] if len(self.mark) == 1 else list(new)
+        for c in odd:
+            self.cores[c] = self._encode(c).tobytes()
+        plain = list(new.difference(odd))
+        for at in range(0, len(plain), CHUNK):
+            some = plain[at : at + CHUNK]
+            ids = self._encode(f" {self.MARK} ".join(some))
+            cut = np.flatnonzero(ids == self.mark[0])
+            for c, start, stop in zip(some, np.r_[0, cut + 1], np.r_[cut, len(ids)], strict=True):
+                self.cores[c] = ids[start:stop].tobytes()
+        for w, (c, mark) in parts.items():
+            self[w] = self.cores[c] + self.marks[mark]
+
+    def of(self, texts: list[str | None], end: int) -> list[bytes]:
+        """The ids of each text and the end mark."""
         if len(self) > CACHE:
             self.clear()
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + np.array([end], self.dtype).tobytes()
+        if len(self.cores) > CACHE:
+            self.cores.clear()
+        lists = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*lists).difference(self))
+        last = np.array([end], self.dtype).tobytes()
+        return [b"".join(map(self.__getitem__, ws)) + last for ws in lists]
 
 
 @cache
@@ -114,7 +151,7 @@ def tokenize(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFram
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
-                made = [cached.of(t.as_py(), end) for t in b.column("text")]
+                made = cached.of(b.column("text").to_pylist(), end)
                 n = np.array([len(x) // cached.dtype.itemsize for x in made])
                 key = curve_keys(np.frombuffer(b"".join(made), cached.dtype), n) << SALT_BITS | b.column("salt").to_numpy()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "key", "n", "ids"])
