@@ -63,7 +63,8 @@ def norm(v: Vec) -> Column:
 
 def cosine_distance(a: Vec, b: Vec) -> Column:
     """1 - cosine, clamped; NaN where a vector is zero."""
-    scale = norm(a) * norm(b)
+    square = lambda v: _fold(F.transform(_c(v), lambda x: x.cast("double") * x.cast("double")))
+    scale = F.sqrt(square(a) * square(b))
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _pairs(a, b, lambda x, y: x * y) / F.nullif(scale, F.lit(0.0))))
     return same_dims(a, b, F.when(scale == 0, F.lit(float("nan"))).otherwise(1 - cosine))
 
