@@ -216,5 +216,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+_SQL = """
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') as ws from documents),
+u as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+win as (select doc_id, i, list(word) over (partition by doc_id order by i rows between current row and 19 following) as g from u),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from win where len(g) = 20) where r > 1),
+cov as (select distinct doc_id, i + k as i from later, range(20) t(k)),
+kept as (select u.doc_id, count(cov.i) as n_removed, string_agg(word, ' ' order by u.i) filter (cov.i is null) as t from u left join cov using (doc_id, i) group by 1)
+select w.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_substring_dedup": _SQL}
