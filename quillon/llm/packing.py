@@ -38,7 +38,7 @@ AXES, BITS, HASHED = 3, 16, 4096
 SALT_BITS = 15  # with AXES * BITS: 63
 RANGES_PER_PARTITION = 4
 CACHE = 500_000
-CHUNK = 64
+CHUNK = 256
 
 
 class Ids(dict):
@@ -64,9 +64,11 @@ class Ids(dict):
 
     @staticmethod
     def core(word: str) -> tuple[str, str]:
-        mark = word[-1:] if word[-1:] in (".", ",") and "A" <= word[-2:-1] < "\u0130" and word[-2].isalpha() else ""
-        word = word[: len(word) - len(mark)]
-        return (word.lower() if word.isascii() else word), mark
+        if word.isascii():
+            word = word.lower()
+        if word[-1:] in (".", ",") and "A" <= word[-2:-1] < "\u0130" and word[-2].isalpha():
+            return word[:-1], word[-1]
+        return word, ""
 
     def learn(self, words: set[str]) -> None:
         parts = {w: self.core(w) for w in words}
@@ -79,8 +81,9 @@ class Ids(dict):
             some = plain[at : at + CHUNK]
             ids = self._encode(f" {self.MARK} ".join(some))
             cut = np.flatnonzero(ids == self.mark[0])
-            for c, start, stop in zip(some, np.r_[0, cut + 1], np.r_[cut, len(ids)], strict=True):
-                self.cores[c] = ids[start:stop].tobytes()
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            for c, start, stop in zip(some, [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)], strict=True):
+                self.cores[c] = raw[start:stop]
         for w, (c, mark) in parts.items():
             self[w] = self.cores[c] + self.marks[mark]
 
