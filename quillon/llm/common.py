@@ -66,8 +66,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; null text: none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def held_out(doc_id: Column) -> Column:
