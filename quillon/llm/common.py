@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,10 +56,10 @@ def release(spark: SparkSession) -> None:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs whose results are written: its cleaner waits for the JVM's collector."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python let go of is garbage to the JVM only after that
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -124,8 +124,10 @@ class FingerprintIndex:
 def _candidates(text: str | None, fps: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """A text's words, their hashes, and the starts of its windows whose fingerprint is repeated."""
     words = split(text)
+    if not len(fps):
+        return words, np.empty(0, np.uint64), np.empty(0, np.int64)
     hashed = hashes().of(words)
-    return words, hashed, np.flatnonzero(np.isin(fingerprints(hashed), fps)) if len(fps) else np.empty(0, np.int64)
+    return words, hashed, np.flatnonzero(np.isin(fingerprints(hashed), fps))
 
 
 def _array(x: pa.Scalar, dtype) -> np.ndarray:
@@ -169,7 +171,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words, n_removed, kept = [], [], []
             for text, fps, firsts in zip(b.column("text"), b.column("fps"), b.column("firsts")):
                 words, _, starts = _candidates(text.as_py(), _fps(fps))
-                later = starts[~np.isin(starts, _array(firsts, np.int64))]
+                later = starts[~np.isin(starts, _array(firsts, np.int64))] if len(starts) else starts
+                if not len(later):
+                    n_words.append(len(words))
+                    n_removed.append(0)
+                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+                    continue
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, later, 1)
                 np.add.at(edge, later + WINDOW, -1)
