@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, near_dup, packing, quality, substring_dedup
 from quillon.llm.common import collect_garbage, delete, release, shared_dir, table
@@ -19,8 +18,7 @@ from quillon.llm.common import collect_garbage, delete, release, shared_dir, tab
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     release(spark)
-    judged = quality.annotate(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return judged.where(F.col("quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.keep(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ from tests.llm.test_substring_dedup import brute
 
 def tables(spark, folder):
     rng = random.Random(21)
-    vocab = [f"w{i}" for i in range(500)] + ["the", "of"] * 60
+    vocab = [f"w{i}{'abcd'[i % 4] * 2}" for i in range(500)] + ["the", "of"] * 60  # few endings: dense counts
     bench = [rng.choices(vocab, k=40) for _ in range(5)]
-    passage = [f"p{i}" for i in range(60)]
+    passage = [f"p{i}{'abcd'[i * 7 % 4] * 2}" for i in range(60)]
     docs = []
     for i in range(120):
         ws = rng.choices(vocab, k=rng.randint(60, 150))
@@ -23,7 +23,7 @@ def tables(spark, folder):
         if i % 10 == 5:
             ws[20:20] = bench[i % 5]
         docs.append((i, " ".join(ws)))
-    docs += [(200 + i, docs[i][1] + f" tail{i}") for i in range(0, 40, 4)] + [(300 + i, docs[1][1]) for i in range(9)]
+    docs += [(200 + i, docs[i][1] + f" tail{i}aa") for i in range(0, 40, 4)] + [(300 + i, docs[1][1]) for i in range(9)]
     docs += [(400 + i, " ".join(f"{w}$$$" for w in rng.choices(vocab, k=80))) for i in range(6)] + [(500, "too short"), (501, None), (502, "again and again " * 30)]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
