@@ -1,16 +1,17 @@
 """Benchmark decontamination: documents that hold a benchmark item, up to a few edited words.
 
 Texts are sequences of words (lower case, without marks at the ends). The CGK embedding walks over a sequence with random
-bits: step j emits the word at the current place and moves on if bit j of that word's hash is 1; sequences at a small edit
-distance fall into step again, so the edit distance becomes a Hamming distance of what is emitted. Every word of a document
-starts a window; all windows' walks are made at once, step by step, in numpy. Bit-sampling hashes take DRAWN of the emitted
-words each, from the steps that cover a window of the item's size class (items of 2^c to 2^(c+1) - 1 words: 1.5 * 2^c
-steps, at most MAX_STEPS); WALKS independent walks with TABLES hashes each give the recall: an unchanged item is always
-found, one with a tenth of its words edited with a probability over 0.95 (measured in the tests).
-
-Windows that share a hash with an item are verified: the edit distance in words between the item and the best part of the
-document around the window, by dynamic programming, must be at most EDIT_RATE of the item's words. One pass over whole texts,
-no shuffle. Items travel with the tasks in blocks of MAX_ITEMS at most; more items take more passes.
+bits: step j emits the word at the current place and moves on if bit j of that word's hash is 1. Every word of a document and
+every word of an item, along its whole length, starts a walk over a window of SPAN words (3 or fewer where span_of() says so)
+in three steps for each word; a walk that reaches the end of its window stays there. All walks are made at once, step by step,
+in numpy. The hash of a window takes all of its steps: windows this short need no sampling, and equal ones always meet.
+
+Nothing within EDIT_RATE is missed, whichever of the item's words are edited: an edit touches at most `span` windows of the
+item, so that of its n - span + 1 windows all but edits * span are in the document unchanged, and their offsets from the item's
+start differ by no more than the edits. Pairs of document and item with fewer such windows (hits_of(), 1 at least) are left
+out. In the others, the edit distance in words between the whole item and the best part of the document around the window, by
+dynamic programming, must be at most EDIT_RATE of the item's words. One pass over whole texts, no shuffle. Items travel with
+the tasks in blocks of MAX_ITEMS at most; more items take more passes.
 
 Defined cases: null or short texts match nothing; items of fewer than MIN_WORDS words are left out, as they would be found in
 clean text; null item_id stays null; repeated items are found each; repeated rows are judged alike; empty tables give no
@@ -33,8 +34,7 @@ from quillon.llm.wordhash import MULTIPLIER, WordHashes, mix, split
 
 EDIT_RATE = 0.2
 MIN_WORDS = 8
-WALKS, TABLES, DRAWN = 4, 3, 4
-MAX_STEPS = 48
+SPAN = 4
 MAX_ITEMS = 20_000
 STEP = 400  # documents at once
 CHUNK = 16_384  # windows at once
@@ -57,40 +57,35 @@ def _hashes() -> PlainHashes:
     return PlainHashes()
 
 
-def size_class(n: int) -> int:
-    return n.bit_length() - 1
+def most_edits(n: int) -> int:
+    return int(EDIT_RATE * n)
 
 
-def steps_of(size_class_: int) -> int:
-    return min(MAX_STEPS, 3 * (1 << size_class_) // 2)
+def span_of(n: int) -> int:
+    """Words of the windows of an item of n words: SPAN, or as many as stay together after any most_edits(n) edits."""
+    return min(SPAN, -(-(n - most_edits(n)) // (most_edits(n) + 1)))
 
 
-def plan(classes: list[int], seed: int = 5) -> list[list[tuple[int, int, list[int]]]]:
-    """For each walk its hashes: (size class, salt, steps drawn)."""
-    rng = np.random.default_rng(seed)
-    return [[(c, int(rng.integers(1 << 62)), sorted(rng.choice(steps_of(c), DRAWN, replace=False).tolist())) for c in classes for _ in range(TABLES)] for _ in range(WALKS)]
+def hits_of(n: int) -> int:
+    """The least number of an item's windows that most_edits(n) edits leave as they are."""
+    return max(1, n - span_of(n) + 1 - most_edits(n) * span_of(n))
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, walks: list) -> Iterator[tuple[int, int, np.ndarray]]:
-    """The hashes of the windows at `starts` of an array of word hashes: (walk, index of the hash, keys)."""
-    padded = np.append(words, np.zeros(MAX_STEPS + 1, np.uint64))
-    for w, hashes in enumerate(walks):
-        last = max((d[-1] for _, _, d in hashes), default=-1)
-        bits = np.unpackbits(mix(padded ^ mix(np.full(1, w + 1, np.uint64))).view(np.uint8)).reshape(-1, 64).T[: last + 1].copy()
-        emitted = (mix(padded ^ MULTIPLIER) >> np.uint64(32)).astype(np.uint32)
-        at = starts.astype(np.int32)
-        keys = [np.full(len(starts), salt & 0xFFFFFFFF, np.uint32) for _, salt, _ in hashes]
-        for j in range(last + 1):
-            drawn = [key for key, (_, _, d) in zip(keys, hashes) if j in d]
-            if drawn:
-                word = emitted[at]
-                for key in drawn:
-                    key ^= word
-                    key *= np.uint32(0x9E3779B1)
-                    key ^= key >> np.uint32(15)
-            at += bits[j][at]
-        for k, key in enumerate(keys):
-            yield w, k, key
+def walk_keys(words: np.ndarray, n: int, span: int) -> np.ndarray:
+    """The hashes of the windows of `span` words at the first n places of an array of word hashes."""
+    padded = np.append(words, np.zeros(span, np.uint64))
+    bits = np.unpackbits(mix(padded ^ mix(np.full(1, span, np.uint64))).view(np.uint8)).reshape(-1, 64).T[: 3 * span].copy()
+    emitted = (mix(padded ^ MULTIPLIER) >> np.uint64(32)).astype(np.uint32)
+    at = np.arange(n, dtype=np.int32)
+    end = at + np.int32(span - 1)
+    key = np.full(n, span, np.uint32)
+    for bit in bits:
+        key ^= emitted[at]
+        key *= np.uint32(0x9E3779B1)
+        key ^= key >> np.uint32(15)
+        at += bit[at]
+        np.minimum(at, end, out=at)
+    return key
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -109,43 +104,78 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(cost[end]), int(start[end])
 
 
+class Windows:
+    """The windows of `span` words of items, by hash."""
+
+    def __init__(self, span: int, items: list[tuple[int, np.ndarray]]):
+        self.span = span
+        count = [len(w) - span + 1 for _, w in items]
+        keys = np.concatenate([walk_keys(w, c, span) for (_, w), c in zip(items, count)])
+        order = np.argsort(keys, kind="stable")
+        self.item = np.repeat(np.array([n for n, _ in items]), count)[order]
+        self.offset = np.concatenate([np.arange(c) for c in count])[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        size = min(24, max(16, (16 * len(self.keys)).bit_length()))
+        self.shift = np.uint32(32 - size)
+        self.filter = np.zeros(1 << size, bool)
+        self.filter[self.keys >> self.shift] = True
+
+    def hits(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, offset in the item) for equal windows at the first n places."""
+        key = walk_keys(words, n, self.span)
+        at = np.flatnonzero(self.filter[key >> self.shift])
+        k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        same = self.keys[k] == key[at]
+        at, k = at[same], k[same]
+        count = self.first[k + 1] - self.first[k]
+        row = np.repeat(self.first[k + 1] - np.cumsum(count), count) + np.arange(count.sum())
+        return np.repeat(at, count), self.item[row], self.offset[row]
+
+
 class Items:
-    """A block of items and their hashes."""
+    """A block of items and their windows."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         made = [(i, _hashes().of(split(t))) for i, t in rows]
         self.rows = [(i, w) for i, w in made if len(w) >= MIN_WORDS]
         self.words = [frozenset(w.tolist()) for _, w in self.rows]
-        self.walks = plan(sorted({size_class(len(w)) for _, w in self.rows}))
-        self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
-        for n, (_, words) in enumerate(self.rows):
-            for w, k, key in walk_keys(words, np.zeros(1, np.int64), self.walks):
-                if self.walks[w][k][0] == size_class(len(words)):
-                    self.keys.setdefault((w, k), {}).setdefault(int(key[0]), []).append(n)
-        self.filters = {}
-        for at, keys in self.keys.items():
-            self.filters[at] = np.zeros(1 << 16, bool)
-            self.filters[at][np.array(list(keys), np.uint32) >> np.uint32(16)] = True
+        self.most = np.array([most_edits(len(w)) for _, w in self.rows], np.int64)
+        self.least = np.array([hits_of(len(w)) for _, w in self.rows], np.int64)
+        by: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for n, (_, w) in enumerate(self.rows):
+            by.setdefault(span_of(len(w)), []).append((n, w))
+        self.windows = [Windows(span, items) for span, items in sorted(by.items())]
+
+    def candidates(self, line: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int]]:
+        """(document, item, where the item would start in the line) for pairs with enough equal windows."""
+        found = []
+        for low in range(0, len(line), CHUNK):  # parts that stay in the processor's cache
+            for w in self.windows:
+                at, n, offset = w.hits(line[low : low + CHUNK + w.span], min(CHUNK, len(line) - low))
+                found.append((np.searchsorted(edge, at + low, side="right") - 1, n, at + low - offset))
+        if not found:
+            return []
+        doc, n, start = map(np.concatenate, zip(*found))
+        order = np.lexsort((start, n, doc))
+        doc, n, start = doc[order], n[order], start[order]
+        last = np.arange(len(n)) + self.least[n] - 1
+        inside = np.flatnonzero(last < len(n))
+        last = last[inside]
+        enough = inside[(doc[last] == doc[inside]) & (n[last] == n[inside]) & (start[last] - start[inside] <= self.most[n[inside]])]
+        return sorted(set(zip(doc[enough].tolist(), n[enough].tolist(), start[enough].tolist())))
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
         """The matches in each text."""
         words = [_hashes().of(split(t)) for t in texts]
         edge = np.cumsum([0, *map(len, words)])
         line = np.concatenate(words) if words else np.empty(0, np.uint64)
-        seen: set[tuple[int, int]] = set()
-        if len(line) and self.rows:
-            for low in range(0, len(line), CHUNK):  # parts that stay in the processor's cache
-                part = line[low : low + CHUNK + MAX_STEPS]
-                for w, k, key in walk_keys(part, np.arange(min(CHUNK, len(line) - low)), self.walks):
-                    if (w, k) in self.keys:
-                        for at in np.flatnonzero(self.filters[w, k][key >> np.uint32(16)]):
-                            seen.update((low + int(at), n) for n in self.keys[w, k].get(int(key[at]), ()))
+        seen = self.candidates(line, edge)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         listed = line.tolist() if seen else []
-        for at, n in sorted(seen):
-            doc = int(np.searchsorted(edge, at, side="right")) - 1
+        for doc, n, at in seen:
             item = self.rows[n][1]
-            most = int(EDIT_RATE * len(item))
+            most = int(self.most[n])
             low, high = max(edge[doc], at - most), min(edge[doc + 1], at + len(item) + most)
             # An edit takes away one of the item's distinct words at most.
             if len(self.words[n].intersection(listed[low:high])) < len(self.words[n]) - most:

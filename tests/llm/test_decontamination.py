@@ -99,3 +99,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert annotate(docs, none).first().matches == [] and clean(docs, none).count() == 1
     assert annotate(docs.limit(0), none).count() == 0
+
+
+def test_items_without_their_head():
+    rng, vocab, _ = made(5)
+    for n in (40, 60, 100, 200):
+        bench = [rng.choices(vocab, k=n) for _ in range(20)]
+        items = Items([(i, " ".join(w)) for i, w in enumerate(bench)])
+        for head in ([], [f"h{j}" for j in range(n // 5)]):
+            docs = [" ".join([*rng.choices(vocab, k=50), *head, *w[n // 5 :], *rng.choices(vocab, k=50)]) for w in bench]
+            assert [[m["item_id"] for m in found] for found in items.find(docs)] == [[i] for i in range(len(bench))]
