@@ -109,3 +109,16 @@ def test_items_without_their_head():
         for head in ([], [f"h{j}" for j in range(n // 5)]):
             docs = [" ".join([*rng.choices(vocab, k=50), *head, *w[n // 5 :], *rng.choices(vocab, k=50)]) for w in bench]
             assert [[m["item_id"] for m in found] for found in items.find(docs)] == [[i] for i in range(len(bench))]
+
+
+def test_recall_at_the_edit_rate():
+    rng, vocab, _ = made(6)
+    for n in (8, 10, 11, 15, 20, 40, 60, 100):
+        bench = [rng.choices(vocab, k=n) for _ in range(20)]
+        items = Items([(i, " ".join(w)) for i, w in enumerate(bench)])
+        changed = [edited(rng, w, D.EDIT_RATE) for w in bench]
+        changed += [[f"e{j}" if j % 5 == 4 else x for j, x in enumerate(w)] for w in bench]  # evenly, so that runs are short
+        docs = [[*rng.choices(vocab, k=rng.randint(0, 40)), *c, *rng.choices(vocab, k=rng.randint(0, 40))] for c in changed]
+        for doc, found in zip(docs, items.find([" ".join(d) for d in docs])):
+            held = {i: e for i, w in enumerate(bench) if (e := plain_distance(w, doc)) <= int(D.EDIT_RATE * n)}
+            assert {m["item_id"]: m["edits"] for m in found} == held
