@@ -13,8 +13,8 @@ out. In the others, the edit distance in words between the whole item and the be
 dynamic programming, must be at most EDIT_RATE of the item's words. One pass over whole texts, no shuffle. Items travel with
 the tasks in blocks of MAX_ITEMS at most; more items take more passes.
 
-Defined cases: null or short texts match nothing; items of fewer than MIN_WORDS words are left out, as they would be found in
-clean text; null item_id stays null; repeated items are found each; repeated rows are judged alike; empty tables give no
+Defined cases: null or empty texts match nothing; items of fewer than MIN_WORDS words must be there word for word, as with edits
+they would be found in clean text; items without words match nothing; null item_id stays null; repeated items are found each; repeated rows are judged alike; empty tables give no
 matches; extra columns stay, whatever their names.
 """
 
@@ -58,7 +58,7 @@ def _hashes() -> PlainHashes:
 
 
 def most_edits(n: int) -> int:
-    return int(EDIT_RATE * n)
+    return int(EDIT_RATE * n) if n >= MIN_WORDS else 0
 
 
 def span_of(n: int) -> int:
@@ -138,7 +138,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         made = [(i, _hashes().of(split(t))) for i, t in rows]
-        self.rows = [(i, w) for i, w in made if len(w) >= MIN_WORDS]
+        self.rows = [(i, w) for i, w in made if len(w)]
         self.words = [frozenset(w.tolist()) for _, w in self.rows]
         self.most = np.array([most_edits(len(w)) for _, w in self.rows], np.int64)
         self.least = np.array([hits_of(len(w)) for _, w in self.rows], np.int64)

@@ -122,3 +122,13 @@ def test_recall_at_the_edit_rate():
         for doc, found in zip(docs, items.find([" ".join(d) for d in docs])):
             held = {i: e for i, w in enumerate(bench) if (e := plain_distance(w, doc)) <= int(D.EDIT_RATE * n)}
             assert {m["item_id"]: m["edits"] for m in found} == held
+
+
+def test_short_items_match_word_for_word():
+    items = Items([(n, " ".join(f"s{n}x{j}" for j in range(n))) for n in range(1, 8)] + [(90, ""), (91, None)])
+    for n in range(1, 8):
+        ws = [f"s{n}x{j}" for j in range(n)]
+        edits = [] if n == 1 else [["a", *ws[:-1], "b"], ["a", *ws[1:], "b"], [*ws[:1], "new", *ws[1:]], ws[::-1]]
+        whole, *others = items.find([" ".join(["a", "b", *ws, "c"]), *map(" ".join, edits)])
+        assert whole == [{"item_id": n, "start": 2, "edits": 0}] and not any(others)
+    assert items.find(["s3x0 s3x1", "s3x2", "", None]) == [[], [], [], []]
