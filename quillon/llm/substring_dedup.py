@@ -6,8 +6,8 @@ starts earlier: in a document of smaller doc_id, or in the same one further to t
 Index. Of each window the least hash of its KGRAM-word parts is its fingerprint: equal windows have equal fingerprints,
 and neighbouring windows mostly share one, so a document has one entry for about seven words. The entries (fingerprint,
 doc_id, occurrences) of each batch of documents are written as an immutable run of sorted files. Runs are compacted:
-FANOUT runs of a level become one of the next, with their entries merged. A batch is looked up by a merge join of
-fingerprints over the runs: those with two occurrences or more, in the batch or in history, are repeated.
+FANOUT runs of a level become one of the next, with their entries merged. The query writes BATCHES
+runs, fewer than FANOUT, and groups all of them at once: fingerprints with two occurrences or more are repeated.
 
 Verification. Only windows with a repeated fingerprint can be repeated. They are hashed whole, and compared by fingerprint
 and hash together (128 bits); neighbouring windows with one fingerprint travel in one row. The least (doc_id, start) of
