@@ -6,8 +6,8 @@ links; the conversion record carries the text of the payload. Record ids are nam
 same derivatives, so a part that is computed again after a loss gives no second record. Everything is a column expression:
 one pass over the responses, no shuffle.
 
-Text of a payload: scripts, styles, templates and comments go; block-level tags end a line, other tags vanish; named and
-decimal character references are decoded; runs of blanks become one space, runs of line ends one line feed.
+Text of a payload: scripts, styles, templates and comments go; block-level tags end a line, other tags vanish; decimal
+character references and the names lt, gt, quot, apos, nbsp and amp are decoded, others stay as they are; runs of blanks become one space, runs of line ends one line feed.
 
 Defined cases: null block counts as empty (its conversion is an empty text); a block without an empty line is all header;
 null url, date or id give empty fields (and ids made from them); repeated responses give repeated records; an empty table
