@@ -11,25 +11,33 @@ their multiset Jaccard. Points are drawn in order of time and only up to a time
 filled, so a text needs about m ln m points besides one for each shingle; where a component is still open, the time is
 doubled. All texts of a batch are drawn at once in numpy.
 
-A pair of a bucket is compared only if its sketches (PLANES bits of each component) differ in at most DIFFER bits: texts
-at 0.8 differ in 48 on average with a standard deviation of 10, so one in 100,000 is missed, while texts that share a
-passage but are less than 0.5 similar are left out in 98 of 100 cases without looking at them.
-
 BANDS bands of ROWS components (a pair at 0.8 shares a band with probability 0.99993) give buckets. Equal texts are one
-node, identified by the MD5 of the text, so copies cost nothing here. In a bucket, nodes are compared with centres, those that
-meet most others over all bands first; verified links join components, and a bucket is done when all its nodes are in one
-component or every pair across components has been compared. Rounds take 1, 2, 4, ... centres: a bucket of near copies is
-done after its first centre, and no link within a bucket is left out. A link between nodes of one component adds nothing
-to the classes and is not looked for.
-
-Defined cases: null text counts as empty; texts without a word are near-duplicates of their equals only; class_id is the
-least doc_id of the class (null only if all are); repeated rows are copies; an empty table gives no rows; extra columns do
-not matter to classify() and stay with keep_one().
+node, identified by the MD5 of the text, so copies cost nothing here. Links within buckets are found without all pairs, and
+none is left out:
+
+1. Every node of a bucket is compared with the bucket's centre, the node that meets most others over all bands. In a bucket
+   of near copies that links nearly all. ROUNDS - 1 more centres, each from the nodes that are still apart, link
+   groups of their own.
+2. What is left are pairs in different components. Let x, y and c be the vectors of shingle counts of two nodes and their
+   centre. L1(x, y) is the distance between the differences x - c and y - c, and a link means that it is at most (|x| + |y|) / 9
+   (for 0.8). So both differences must share at least (|x - c| + |y - c| - (|x| + |y|) / 9) / 2 of their units, which is 1
+   or more unless both are linked to c. By the prefix filter for set joins, two nodes that share s of their units share one
+   within the first n - s + 1 of each in any fixed order: the rarest of the centre's nodes first, as independent edits have
+   units of their own. Only those prefixes (a quarter of a text at most) are joined, without units that one node alone has.
+
+The texts of the pairs that this leaves are compared, too. Every table is as long as the members of buckets, or shorter than
+their texts; no key but a centre's own has more than one row a member.
+
+Defined cases: null text counts as empty; texts without a word are near-duplicates of their equals only; very long texts are
+taken whole; class_id is the least doc_id of the class (null only if all are); repeated rows are copies; an empty table gives
+no rows; extra columns, whatever their names, do not matter to classify() and stay with keep_one(), which keeps of rows with the
+same doc_id in one class the one whose JSON has the least hash, so that order and partitions do not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +46,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, table
 from quillon.llm.components import components
-from quillon.llm.wordhash import MULTIPLIER, hashes, mix, split, windows
+from quillon.llm.wordhash import MULTIPLIER, hashes, mix, split, times, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
-PLANES, DIFFER = 4, 92
+ROUNDS = 2
 STEP = 256  # texts drawn at once
 
 
@@ -80,7 +88,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> n
         value = np.zeros(len(todo) * size, np.uint64)
         low, width = 0, 1  # the interval of counts [low, low + width)
         while len(keys):
-            _draw(keys + np.uint64(low) * MULTIPLIER, counts, doc, low, width, until, first, value, size)
+            _draw(keys + times(low), counts, doc, low, width, until, first, value, size)
             low, width = low + width, max(1, low + width)
             more = counts > low
             keys, counts, doc = keys[more], counts[more], doc[more]
@@ -92,10 +100,10 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> n
 
 def _draw(seeds, counts, doc, low, width, until, first, value, size) -> None:
     """The points of one interval's process for each key up to its text's time, into first (times) and value."""
-    seeds, time, number = mix(seeds), np.zeros(len(seeds)), np.uint64(0)
+    seeds, time, number = mix(seeds), np.zeros(len(seeds)), 0
     while len(seeds):
-        number += np.uint64(1)
-        point = mix(seeds + number * MULTIPLIER)
+        number += 1
+        point = mix(seeds + times(number))
         time = time - np.log(_uniform(point)) / (width * size)
         alive = time < until[doc]
         if not alive.all():
@@ -115,8 +123,9 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node, weight (number of shingles), bands (BANDS 64-bit keys as bytes), sketch."""
+def sign(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs(doc_id, text, keep) -> doc_id, keep (longs), node, bands (BANDS 64-bit keys as bytes)."""
+    same = ["doc_id", *keep, "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * MULTIPLIER
@@ -129,103 +138,146 @@ def sign(docs: DataFrame) -> DataFrame:
                 for k in range(ROWS):
                     key = mix(key * MULTIPLIER + parts[:, :, k])
                 bands = [row.tobytes() if len(bag[0]) else b"" for row, bag in zip(key, bags)]
-                weight = [int(c.sum()) for _, c in bags]
-                flat = parts.reshape(len(bags), SIZE)
-                bits = np.concatenate([((flat >> np.uint64(k)) & np.uint64(1)).astype(np.uint8) for k in range(PLANES)], axis=1)
-                packed = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1)
-                sketch = [x.tolist() for x in packed.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(weight, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "node", "weight", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in same), pa.array(bands, pa.binary())], [*same, "bands"])
 
-    return docs.select("doc_id", node(F.col("text")).alias("node"), "text").mapInArrow(run, "doc_id long, node binary, weight long, bands binary, sketch array<long>")
+    schema = "".join(f"{c} long, " for c in ("doc_id", *keep)) + "node binary, bands binary"
+    return docs.select("doc_id", *keep, node(F.col("text")).alias("node"), "text").mapInArrow(run, schema)
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(band, node, weight, size): the buckets with two nodes or more."""
-    nodes = signed.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    """(band, node, size): the buckets with two nodes or more."""
+    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     part = F.expr("transform(sequence(0, length(bands) div 8 - 1), i -> xxhash64(i, substring(bands, i * 8 + 1, 8)))")
-    members = nodes.where(F.length("bands") > 0).select(F.explode(part).alias("band"), "node", "weight")
+    members = nodes.where(F.length("bands") > 0).select(F.explode(part).alias("band"), "node")
     sizes = members.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     return members.join(sizes, "band")
 
 
-def _differ() -> Column:
-    """In how many bits two sketches differ."""
-    out = F.lit(0)
-    for k in range(-(-SIZE * PLANES // 64)):
-        out = out + F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k))))
-    return out
+def slack(least: float) -> Fraction:
+    """Two bags are linked if their L1 distance is at most this share of their sizes' sum."""
+    least = Fraction(least).limit_denominator(10**6)
+    return (1 - least) / (1 + least)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def difference(a: tuple[np.ndarray, np.ndarray], c: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The units of a - c as hashes: a shingle that a has k times more, or less, often than c gives k of one kind."""
+    keys = np.union1d(a[0], c[0])
+    count = np.zeros(len(keys), np.int64)
+    count[np.searchsorted(keys, a[0])] += a[1]
+    count[np.searchsorted(keys, c[0])] -= c[1]
+    n = np.abs(count)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(keys * np.uint64(2) + (count > 0), n) + number.astype(np.uint64) * MULTIPLIER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, bag = None, None
-        for b in batches:
-            ok = []
-            for x, y, key in zip(b.column("text_a"), b.column("text_b"), b.column("b")):
-                if key.as_py() != last:  # rows of one centre follow each other
-                    last, bag = key.as_py(), shingles(y.as_py())
-                ok.append(similarity(shingles(x.as_py()), bag) >= least)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (b.column("a"), b.column("b"))], ["a", "b"])
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+def prefix(n: Column, weight: Column, linked: Column, least: float) -> Column:
+    """How many units of a difference of n, of a bag of `weight`, can be the first that it shares with a bag that it is linked to
+    but that is in another component: that bag has at most weight * (1 + slack) / (1 - slack) shingles, and a difference of n less
+    the bound of their distance at least; if this bag is linked to the centre, that one is not."""
+    share = slack(least)
+    far, half = share * 2 / (1 - share), (1 - share) / 2
+    some = F.greatest(F.lit(1), n - F.floor(weight * far.numerator / far.denominator + 1e-6))
+    return n + 1 - F.when(linked, F.greatest(some, F.floor(n * half.numerator / half.denominator - 1e-6) + 1)).otherwise(some)
+
 
+def _compared(pairs: DataFrame, texts: DataFrame, least: float, units: bool) -> DataFrame:
+    """pairs(a, b) -> a, b, linked; with units also weight (of a) and the units of the difference to b."""
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
-def classify(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node, root (least node of the class), class_id (least doc_id of the class)."""
-    signed = materialise(sign(docs), "signed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None
+        for whole in batches:
+            for at in range(0, len(whole), STEP):
+                b = whole.slice(at, STEP)
+                linked, weight, units_ = [], [], []
+                for x, y, key in zip(b.column("text_a"), b.column("text_b"), b.column("b")):
+                    if key.as_py() != last:  # rows of one centre follow each other
+                        last, centre = key.as_py(), shingles(y.as_py())
+                    bag = shingles(x.as_py())
+                    linked.append(similarity(bag, centre) >= least)
+                    if units:
+                        weight.append(int(bag[1].sum()))
+                        units_.append(difference(bag, centre).view(np.int64))
+                made = [b.column("a"), b.column("b"), pa.array(linked, pa.bool_())]
+                if units:
+                    ends = pa.array(np.cumsum([0, *map(len, units_)]), pa.int32())
+                    made += [pa.array(weight, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(units_) if units_ else np.empty(0, np.int64)))]
+                yield pa.RecordBatch.from_arrays(made, ["a", "b", "linked", "weight", "units"][: len(made)])
+
+    schema = "a binary, b binary, linked boolean" + ", weight long, units array<long>" * units
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+
+
+def _with_root(rows: DataFrame, roots: DataFrame, node_: str, root: str) -> DataFrame:
+    """rows and the root of the node in column node_: itself where it has no link."""
+    named = roots.select(F.col("node").alias(node_), F.col("root").alias(root))
+    return rows.join(named, node_, "left").withColumn(root, F.coalesce(root, node_))
+
+
+def _sharing(stars: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): nodes of one centre and different components whose differences to it share a unit of their prefixes."""
+    rows = _with_root(_with_root(stars, roots, "a", "root"), roots, "b", "root_b").withColumn("odd", F.col("root") != F.col("root_b"))
+    rows = rows.join(rows.where("odd").select("b").distinct(), "b", "left_semi")
+    each = rows.select("b", "a", F.explode("units").alias("unit"))
+    common = each.groupBy("b", "unit").agg(F.count("*").alias("times")).where(F.col("times") > 1)
+    common = each.join(common, ["b", "unit"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("common"))
+    n = F.size("units").cast("long")
+    rows = rows.select("b", "a", F.xxhash64("root").alias("root"), "odd", "weight", n.alias("n"), prefix(n, F.col("weight"), F.col("linked"), least).alias("prefix"))
+    rows = rows.join(common, ["b", "a"]).withColumn("alone", F.col("n") - F.size("common"))  # units without a partner come first
+    rows = rows.withColumn("common", F.slice("common", F.lit(1), F.greatest(F.col("prefix") - F.col("alone"), F.lit(0)).cast("int")))
+    rows = rows.select("b", "a", "root", "odd", "weight", "n", "alone", F.posexplode("common").alias("at", "unit"))
+    rows = rows.select(F.xxhash64("b", "unit.unit").alias("key"), F.col("a").alias("node"), "root", "odd", "weight", "n", (F.col("alone") + F.col("at")).alias("at"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("odd").alias("any")).where(F.col("any") & (F.col("low") != F.col("high"))).select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    x, y = rows.where("odd").alias("x"), rows.alias("y")
+    share = slack(least)
+    reach = (F.col("x.weight") + F.col("y.weight")) * F.lit(share.numerator) / F.lit(share.denominator)
+    both = F.ceil((F.col("x.n") + F.col("y.n") - reach) / 2 - 1e-6)  # units that a link would share
+    near = (F.col("x.root") != F.col("y.root")) & (~F.col("y.odd") | (F.col("x.node") < F.col("y.node"))) & (F.abs(F.col("x.n") - F.col("y.n")) <= reach + 1e-6)
+    near = near & (F.col("x.at") <= F.col("x.n") - both) & (F.col("y.at") <= F.col("y.n") - both)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def classify(docs: DataFrame, least: float = SIMILARITY, *keep: str) -> DataFrame:
+    """docs(doc_id, text, keep) -> doc_id, keep (longs), node, root (a node of the class), class_id (least doc_id of the class)."""
+    signed = materialise(sign(docs, *keep), "signed")
     members = materialise(_buckets(signed), "buckets")
-    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    sketches = signed.join(degree, "node").groupBy("node").agg(F.first("degree").alias("degree"), F.first("sketch").alias("sketch"))
-    texts = docs.select(node(F.col("text")).alias("node"), "text").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    rank = members.groupBy("node").agg(F.sum("size").alias("meets"))
+    texts = docs.select(node(F.col("text")).alias("node"), "text").join(rank.select("node"), "node", "left_semi").dropDuplicates(["node"])
     texts = materialise(texts, "texts")
-    open_ = members.join(sketches, "node").select("band", "node", "weight", "degree", "sketch").checkpoint()
-    links, roots, centres = None, None, 1
-    while not open_.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("degree"), "node"))
-        chosen = open_.withColumn("rank", rank).where(F.col("rank") <= centres).checkpoint()
-        mine = chosen.select("band", F.col("node").alias("b"), F.col("weight").alias("weight_b"), F.col("degree").alias("degree_b"), F.col("sketch").alias("sketch_b"))
-        met = open_.join(mine, "band").where(F.struct(-F.col("degree"), "node") > F.struct(-F.col("degree_b"), "b"))
-        met = met.where(F.least("weight", "weight_b") >= least * F.greatest("weight", "weight_b")).where(_differ() <= DIFFER)
-        pairs = met.select(F.col("node").alias("a"), "b")
-        if roots is not None:
-            pairs = _apart(pairs, roots)
-        found = _verified(pairs.distinct(), texts, least)
-        links = (found if links is None else links.union(found)).checkpoint()
-        roots = components(links).checkpoint()
-        rest = open_.join(chosen.select("band", "node"), ["band", "node"], "left_anti")
-        rooted = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("band")
-        open_ = rest.join(several, "band", "left_semi").checkpoint()
-        centres *= 2
-    if roots is None:
-        rooted = signed.select("doc_id", "node", F.col("node").alias("root"))
-    else:
-        rooted = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = materialise(members.join(rank, "node").select("band", "node", "meets"), "open")
+    links, roots, stars = None, None, None
+    for k in range(ROUNDS):
+        centres = open_.groupBy("band").agg(F.max(F.struct("meets", "node"))["node"].alias("centre"))
+        met = open_.join(centres, "band").where(F.col("node") != F.col("centre"))
+        found = materialise(_compared(met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), texts, least, units=not k), "compared")
+        stars = stars or found
+        new = found.where("linked").select("a", "b")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        if k < ROUNDS - 1:
+            apart = _with_root(_with_root(met, roots, "node", "root"), roots, "centre", "root_c").where(F.col("root") != F.col("root_c"))
+            open_ = materialise(apart.select("band", "node", "meets"), "open")
+    late = materialise(_compared(_sharing(stars, roots, least).distinct(), texts, least, units=False).where("linked").select("a", "b"), "late")
+    if not late.isEmpty():
+        roots = components(links.union(late))
+    rooted = _with_root(signed.drop("bands"), roots, "node", "root")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(classes, "root").select("doc_id", "node", "root", "class_id")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component yet."""
-    out = pairs
-    for end in ("a", "b"):
-        out = out.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    return out.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return rooted.join(classes, "root").select("doc_id", *keep, "node", "root", "class_id")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without their near-duplicates: of each class one with the least doc_id stays."""
-    best = classify(docs, least).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("node").alias("_node"))).alias("k")).select("k.*")
-    named = docs.withColumn("_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_node", node(F.col("text")))
-    return named.join(best, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"]).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row")).select(F.col("row"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.to_json("row")).alias("mark"))
+    classes = classify(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"), "mark"), least, "mark")
+    best = classes.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.mark").alias("mark"))
+    return rows.join(best, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class."""
-    return classify(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
 QUERIES = {"op9_near_duplicates": op9_near_duplicates}

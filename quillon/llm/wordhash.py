@@ -41,12 +41,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def times(n: int) -> np.uint64:
+    """n times MULTIPLIER, modulo 2 ** 64."""
+    return np.uint64(n * int(MULTIPLIER) & 0xFFFF_FFFF_FFFF_FFFF)
+
+
 def windows(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """A hash for each window of `size` consecutive words; empty if there are fewer."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, np.uint64(seed) * MULTIPLIER + np.uint64(size))
+    h = np.full(n, times(seed)) + np.uint64(size)
     for k in range(size):
         h = (h + words[k : k + n]) * MULTIPLIER
         h ^= h >> np.uint64(29)

@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 
 from quillon.llm.components import components
-from quillon.llm.near_dup import classify, keep_one, shingles, signatures, similarity
+from quillon.llm import near_dup
+from quillon.llm.near_dup import classify, difference, keep_one, shingles, signatures, similarity
 
 
 def bag(text):
@@ -93,3 +94,66 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(5, 5)]
     out = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(41)) and all(out[100 + i] == 100 for i in range(30)) and len(out) == 71
+
+
+def variants(rng, n, edits, length=150):
+    """n copies of a text, each with up to `edits` of its words replaced, and some words cut off its end."""
+    base = [f"b{rng.random():.6f}" for _ in range(length)]
+    for _ in range(n):
+        ws = list(base)
+        for _ in range(rng.randint(0, edits)):
+            ws[rng.randrange(length)] = f"e{rng.random():.6f}"
+        yield " ".join(ws[: length - rng.choice([0, 0, 0, 5, 40])])
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark):
+    """Near copies on both sides of the bound: classes by all pairs, and links that no centre has part of the time."""
+    rng = random.Random(4)
+    texts = [t for edits in (5, 9, 14) for t in variants(rng, 60, edits)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.class_id for r in classify(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_prefixes_find_what_one_centre_leaves(spark, monkeypatch):
+    """With one centre a bucket, links between nodes that are far from it are left to the prefixes of differences."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for g in range(6):  # groups that differ from the base by more than the bound, each with copies of its own
+        other = list(base)
+        for k in range(6 + g):
+            other[(k * 17 + g * 5) % 200] = f"g{g}x{k}"
+        texts += [" ".join(w if rng.random() > 0.005 else f"e{rng.random():.6f}" for w in other) for _ in range(12)]
+    monkeypatch.setattr(near_dup, "ROUNDS", 1)
+    out = {r.doc_id: r.class_id for r in classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_differences_keep_the_distance():
+    rng = random.Random(2)
+    bags = [shingles(" ".join(rng.choices("abc", k=rng.randint(5, 400)))) for _ in range(12)]
+    l1 = lambda a, b: sum(abs(dict(zip(*map(np.ndarray.tolist, a))).get(k, 0) - dict(zip(*map(np.ndarray.tolist, b))).get(k, 0)) for k in {*a[0].tolist(), *b[0].tolist()})
+    for a in bags:
+        for b in bags:
+            x, y = difference(a, bags[0]), difference(b, bags[0])
+            assert len(set(x.tolist())) == len(x) == l1(a, bags[0])
+            assert len(x) + len(y) - 2 * len(np.intersect1d(x, y)) == l1(a, b)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    near = [w if rng.random() > 0.01 else "x" for w in long]
+    far = [w if rng.random() > 0.3 else "x" for w in long]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([far, long, near])], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in classify(docs).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_clashing_columns_and_repeated_rows_stay_defined(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    cols = "doc_id long, text string, _id string, _node string, id string, mark string, row string, node string"
+    rows = [(7, text, *f"A{k} B C D E F".split()) for k in range(5)] + [(8, text + " tail", *"u v w x y z".split()), (9, "alone", None, None, None, None, None, None)]
+    first = sorted(keep_one(spark.createDataFrame(rows, cols)).collect(), key=str)
+    again = sorted(keep_one(spark.createDataFrame(rows[::-1], cols).repartition(3)).collect(), key=str)
+    assert first == again and len(first) == 2 and {tuple(r) for r in first} <= set(rows) and {r.doc_id for r in first} == {7, 9}
