@@ -6,16 +6,20 @@ links; the conversion record carries the text of the payload. Record ids are nam
 same derivatives, so a part that is computed again after a loss gives no second record. Everything is a column expression:
 one pass over the responses, no shuffle.
 
-Text of a payload: scripts, styles, templates and comments go; block-level tags end a line, other tags vanish; decimal
-character references and the names lt, gt, quot, apos, nbsp and amp are decoded, others stay as they are; runs of blanks become one space, runs of line ends one line feed.
+Text of a payload: scripts, styles, templates and comments go, to the end where they are not closed; block-level tags end a line,
+other tags vanish; decimal and hexadecimal character references and the names of HTML 4 and XML are decoded, others stay as they
+are; runs of blanks become one space, runs of line ends one line feed. A tag has no < within; a < that no > follows before
+the next < is text. So every pattern passes over a text once, whatever stands in it.
 
 Defined cases: null block counts as empty (its conversion is an empty text); a block without an empty line is all header;
 null url, date or id give empty fields (and ids made from them); repeated responses give repeated records; an empty table
-gives none; other columns are ignored.
+gives none; very long blocks are taken whole, in time that grows as their length; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +30,15 @@ DATE = "2024-01-01T00:00:00Z"  # pages have no date of capture
 
 #: Steps from HTML to text, fixed values: (pattern, replacement), in this order. Java and RE2 read them alike.
 STEPS = (
-    (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", " "),
-    (r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", " "),
-    (r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)", " "),
+    (r"(?is)<script\b[^<>]*>.*?(?:</script\s*>|\z)", " "),
+    (r"(?is)<style\b[^<>]*>.*?(?:</style\s*>|\z)", " "),
+    (r"(?is)<template\b[^<>]*>.*?(?:</template\s*>|\z)", " "),
     (r"(?s)<!--.*?(?:-->|\z)", " "),
-    (r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", "\n"),
-    (r"<[a-zA-Z/!?][^>]*>", ""),
+    (r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>", "\n"),
+    (r"<[a-zA-Z/!?][^<>]*>", ""),
 )
-NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+NAMED = {**name2codepoint, "apos": 39}
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});"
 BLANKS = ((r"[ \t\f\x{0B}\x{A0}]+", " "), (r" ?[\r\n][ \r\n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 
 
@@ -41,27 +46,28 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
-    for name, to in NAMED:
-        out = F.replace(out, F.lit(name), F.lit(to))
-    out = _decimal_references(out)
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+    out = _decoded(out)
     for pattern, to in BLANKS:
         out = F.regexp_replace(out, pattern, to)
     return out
 
 
-def _decimal_references(text: Column) -> Column:
-    """&#n; as its character, for n that Unicode has; others stay. Texts without any are not touched."""
+def _decoded(text: Column) -> Column:
+    """Character references as their characters; what is none, or none that Unicode has, stays. Texts without any are not touched."""
+    names = F.create_map(*[F.lit(x) for item in sorted(NAMED.items()) for x in item])
+
     def one(part: Column) -> Column:
-        n = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        code = F.when(n != "", n.cast("int"))
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        ref = F.regexp_extract(part, REFERENCE, 1)
+        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+        number = F.when(hexadecimal, F.conv(F.substring(ref, 3, 9), 16, 10).try_cast("int")).otherwise(F.substring(ref, 2, 9).try_cast("int"))
+        code = F.when(F.startswith(ref, F.lit("#")), number).otherwise(F.try_element_at(names, ref))
+        valid = (ref != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, F.substr(part, F.length(n) + 2))).otherwise(F.concat(F.lit("&#"), part))
+        return F.when(valid, F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), part))
 
-    parts = F.split(text, "&#")
+    parts = F.split(text, "&")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
-    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def digest(x: Column) -> Column:
@@ -97,7 +103,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     r = responses.select(*keep, text("record_id").alias("source_id"), text("target_uri").alias("target_uri"), text("warc_date").alias("warc_date"), text("block").alias("block"))
     r = r.withColumn("headers", F.when(at > 0, F.substring(F.col("block"), F.lit(1), at - 1)).otherwise(F.col("block"))).withColumn("payload", F.when(at > 0, F.substr("block", at + 4)).otherwise(""))
     r = r.withColumn("source_block_digest", digest(F.col("block"))).withColumn("source_payload_digest", digest(F.col("payload")))
-    links = F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*="))
+    links = F.regexp_count("payload", F.lit(r"(?i)<a\b[^<>]*\bhref\s*="))
     about = F.concat(
         F.lit("source-block-digest: "), F.col("source_block_digest"), F.lit(f"{CRLF}source-payload-digest: "), F.col("source_payload_digest"),
         F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}source-header: "), F.replace(F.col("headers"), F.lit(CRLF), F.lit(f"{CRLF}source-header: ")), F.lit(CRLF),
@@ -135,14 +141,11 @@ def _sql() -> str:
     text = "payload"
     for pattern, to in STEPS:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
-    for name, to in NAMED:
-        text = f"replace({text}, {quote(name)}, {quote(to)})"
-    parts = f"string_split({text}, '&#')"
-    code = "try_cast(regexp_extract(p, '^([0-9]{1,7});', 1) as int)"
-    text = f"""list_aggregate(list_transform({parts}, lambda p, i: case when i = 1 then p
-        when coalesce({code}, 0) between 1 and 1114111 and {code} not between 55296 and 57343 then chr({code}) || substr(p, length(regexp_extract(p, '^([0-9]{{1,7}});', 1)) + 2)
-        else '&#' || p end), 'string_agg', '')"""
-    text = f"replace({text}, '&amp;', '&')"
+    ref = f"regexp_extract(p, {quote(REFERENCE)}, 1)"
+    names = "map {" + ", ".join(f"'{k}': {v}" for k, v in sorted(NAMED.items())) + "}"
+    code = f"""coalesce(case when lower(substr({ref}, 2, 1)) = 'x' and {ref}[1] = '#' then ('0x' || substr({ref}, 3))::int when {ref}[1] = '#' then try_cast(substr({ref}, 2) as int) else {names}[{ref}] end, 0)"""
+    text = f"""list_aggregate(list_transform(string_split({text}, '&'), lambda p, i: case when i = 1 then p
+        when {ref} <> '' and {code} between 1 and 1114111 and {code} not between 55296 and 57343 then chr({code}) || substr(p, length({ref}) + 2) else '&' || p end), 'string_agg', '')"""
     for pattern, to in BLANKS:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
     uid = lambda name: (h := f"sha256({name})") and f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
@@ -153,7 +156,7 @@ s as (select *, {uid("'response ' || coalesce(page_id::varchar, '') || ' ' || ta
     'sha256:' || sha256(source_headers || chr(13) || chr(10) || chr(13) || chr(10) || payload) as source_block_digest, 'sha256:' || sha256(payload) as source_payload_digest from r),
 m as (select *, 'metadata' as warc_type, 'application/warc-fields' as content_type,
     'source-block-digest: ' || source_block_digest || chr(13) || chr(10) || 'source-payload-digest: ' || source_payload_digest || chr(13) || chr(10) || 'outlinks: '
-    || len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref\\s*=')) || chr(13) || chr(10) || 'source-header: ' || replace(source_headers, chr(13) || chr(10), chr(13) || chr(10) || 'source-header: ') || chr(13) || chr(10) as block from s
+    || len(regexp_extract_all(payload, '(?i)<a\\b[^<>]*\\bhref\\s*=')) || chr(13) || chr(10) || 'source-header: ' || replace(source_headers, chr(13) || chr(10), chr(13) || chr(10) || 'source-header: ') || chr(13) || chr(10) as block from s
     union all select *, 'conversion', 'text/plain; charset=utf-8', {text} from s)
 select page_id, warc_type, {uid("warc_type || ' ' || refers_to")} as record_id, refers_to, target_uri, '{DATE}' as warc_date, content_type, octet_length(encode(block))::bigint as content_length,
     'sha256:' || sha256(block) as block_digest, source_block_digest, source_payload_digest, source_headers, block from m

@@ -3,6 +3,7 @@ import hashlib
 import html as H
 import pathlib
 import re
+import time
 
 import pytest
 
@@ -49,7 +50,7 @@ def test_text(rows):
 
 
 def test_references_equal_the_standard_library(spark):
-    values = [f"a&#{n};b" for n in (1, 38, 65, 160, 255, 8364, 128512, 1114111)]
+    values = [f"a&#{n};b" for n in (1, 38, 65, 160, 255, 8364, 128512, 1114111)] + ["&#x41;&#X1F600;", "&amp;lt; &copy;&middot;&Eacute;&euro;&apos;&sum; &nosuch; & z"]
     out = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(plain_text("v")).collect()]
     assert [o for o, v in zip(out, values) if "&#1;" not in v and "&#160;" not in v and "&#111" not in v] == [H.unescape(v) for v in values if "&#1;" not in v and "&#160;" not in v and "&#111" not in v]
 
@@ -76,3 +77,14 @@ def test_empty_and_headless(spark):
     assert derive(responses_from_pages(none)).count() == 0
     odd = spark.createDataFrame([("id", "u", "d", "HTTP/1.1 204 No Content"), (None, None, None, None)], "record_id string, target_uri string, warc_date string, block string")
     assert sorted((r.warc_type, r.source_headers, r.block) for r in derive(odd).collect() if r.warc_type == "conversion") == [("conversion", "", ""), ("conversion", "HTTP/1.1 204 No Content", "")]
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    """A megabyte of each: with a pattern that goes over the rest of the text at every <, one would take hours."""
+    n = 1_000_000
+    pages = [(1, "u", "<a" * (n // 2)), (2, "u", "<script" * (n // 7)), (3, "u", "<p <!- " * (n // 7)), (4, "u", "<a href " * (n // 8)), (5, "u", "<a href=x<b>y</b>"), (6, "u", "<!--" * (n // 4)), (7, "u", "&#" * (n // 2))]
+    start = time.time()
+    out = derive(responses_from_pages(spark.createDataFrame(pages, "page_id long, url string, html string")), keep=("page_id",)).where("warc_type = 'conversion'").collect()
+    text = {r.page_id: r.block for r in out}
+    assert time.time() - start < 120
+    assert text[1] == pages[0][2] and text[2] == pages[1][2] and text[5] == "<a href=xy" and text[6] == "" and text[7] == pages[6][2]
