@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 from quillon.llm.quality import SMOOTHING, THRESHOLD, UNIT, annotate, trusted_ids
@@ -21,8 +22,9 @@ def base(text):
 
 
 def grams(text):
-    code = [((ord(w[-1]) * 7919) + (ord(w[-2]) if len(w) > 1 else 0) * 104729) % 1000003 for w in WORD.findall(text or "")]
-    return [(a * 31 + b * 17 + 7) % 1000003 * 2654435761 // 65536 % 65536 for a, b in zip(code, code[1:])]
+    code = [zlib.crc32(w.encode()) for w in WORD.findall(text or "")]
+    one = [u * 31 + 7 for u in code] + [u * 31 + v * 17 + 7 for u, v in zip(code, code[1:])]
+    return [x % 1000003 * 2654435761 // 65536 % 65536 for x in one]
 
 
 def texts():
@@ -47,13 +49,13 @@ def test_counts_scores_and_verdicts(spark):
         if i is not None and i < 40 and i % 3:
             target.update(grams(t))
     n_raw, n_target = sum(raw.values()), sum(target.values())
-    ratio = {b: round(UNIT * math.log((target[b] + SMOOTHING) / (raw[b] * n_target / n_raw + SMOOTHING))) for b in raw}
+    ratio = {(b, own): round(UNIT * math.log((max(target[b] - own, 0) + SMOOTHING) / ((raw[b] - 1) * n_target / n_raw + SMOOTHING))) for b in raw for own in (0, 1)}
     for r in out:
         q, g = r.quality, grams(r.text)
         want = base(r.text)
         assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == want, r.text[:80]
         assert q.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-        score = sum(ratio[b] for b in g) / len(g) / UNIT if g else 0.0
+        score = sum(ratio[b, int(r.doc_id is not None and r.doc_id < 40 and r.doc_id % 3 > 0)] for b in g) / len(g) / UNIT if g else 0.0
         assert abs(q.score - score) < 1e-9 and q.kept == (not q.base_failed and score >= THRESHOLD)
 
 
@@ -62,3 +64,15 @@ def test_without_trusted_or_rows(spark):
     none = trusted_ids(spark.createDataFrame([], "doc_id long, quality int"))
     assert annotate(docs, none).first().quality.score == 0.0
     assert annotate(docs.limit(0), none).count() == 0
+
+
+def test_clean_documents_stay_where_counts_are_thin(spark):
+    """Words that no trusted document has are no reason to drop a text; words of many bad ones are."""
+    rng = random.Random(8)
+    common = ["the", "of", "and", "to", "in"]
+    clean = lambda k: " ".join(rng.choice(common) if rng.random() < 0.5 else f"n{k}w{rng.random():.9f}" for _ in range(60))
+    docs = [(i, clean(i)) for i in range(300)] + [(1000 + i, " ".join(f"{w}###" if w in common else w for w in clean(i).split())) for i in range(100)]
+    docs += [(2000 + i, docs[0][1]) for i in range(5)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)] + [(1000, 0)], "doc_id long, quality int")
+    out = {r.doc_id: r.quality.kept for r in annotate(spark.createDataFrame(docs, "doc_id long, text string"), trusted_ids(labels)).collect()}
+    assert all(out[i] for i in range(300)) and all(out[2000 + i] for i in range(5)) and not any(out[1000 + i] for i in range(100))
