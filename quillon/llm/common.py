@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
+ROWS_IN_PART = 50_000
+
 _scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, as in tests, one of our own."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, a temporary one if all runs on this machine, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         place = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(place)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -34,9 +39,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: what follows never computes it again, whatever executor is lost."""
+def parts(rows: int, least: int = 2) -> int:
+    """In how many files a table of `rows` short rows is written."""
+    return max(least, -(-rows // ROWS_IN_PART))
+
+
+def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it: what follows never computes it again, whatever executor is lost.
+
+    In `most` files at most, where the number of rows is known: a small table in as many files as there are shuffle partitions
+    costs more in files than in rows.
+    """
     spark = df.sparkSession
+    df = df.coalesce(most) if most else df
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import parts
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
+
+def _kept(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(parts(rows)).checkpoint()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round joins each link with the least neighbour of one end; tables are as long as the links. A node with very
     many links is a skewed join key, which adaptive execution splits.
     """
-    e = _kept(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = links.count()
+    e = _kept(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
     before = None
     while True:
         both = e.union(e.select("b", "a"))
@@ -25,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where(F.col("a") != F.col("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        e = _kept(small.where(F.col("a") != F.col("b")).distinct())
+        e = _kept(small.where(F.col("a") != F.col("b")).distinct(), rows)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

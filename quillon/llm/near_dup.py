@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, table
+from quillon.llm.common import materialise, parts, table
 from quillon.llm.components import components
 from quillon.llm.wordhash import MULTIPLIER, hashes, mix, split, times, windows
 
@@ -241,24 +241,26 @@ def _sharing(stars: DataFrame, roots: DataFrame, least: float) -> DataFrame:
 def classify(docs: DataFrame, least: float = SIMILARITY, *keep: str) -> DataFrame:
     """docs(doc_id, text, keep) -> doc_id, keep (longs), node, root (a node of the class), class_id (least doc_id of the class)."""
     signed = materialise(sign(docs, *keep), "signed")
-    members = materialise(_buckets(signed), "buckets")
+    n = signed.count()
+    members = materialise(_buckets(signed), "buckets", parts(BANDS * n))
+    n_members = members.count()
     rank = members.groupBy("node").agg(F.sum("size").alias("meets"))
     texts = docs.select(node(F.col("text")).alias("node"), "text").join(rank.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    texts = materialise(texts, "texts")
-    open_ = materialise(members.join(rank, "node").select("band", "node", "meets"), "open")
+    texts = materialise(texts, "texts", parts(BANDS * n))
+    open_ = materialise(members.join(rank, "node").select("band", "node", "meets"), "open", parts(n_members))
     links, roots, stars = None, None, None
     for k in range(ROUNDS):
         centres = open_.groupBy("band").agg(F.max(F.struct("meets", "node"))["node"].alias("centre"))
         met = open_.join(centres, "band").where(F.col("node") != F.col("centre"))
-        found = materialise(_compared(met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), texts, least, units=not k), "compared")
+        found = materialise(_compared(met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), texts, least, units=not k), "compared", parts(BANDS * n_members))
         stars = stars or found
         new = found.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         roots = components(links)
         if k < ROUNDS - 1:
             apart = _with_root(_with_root(met, roots, "node", "root"), roots, "centre", "root_c").where(F.col("root") != F.col("root_c"))
-            open_ = materialise(apart.select("band", "node", "meets"), "open")
-    late = materialise(_compared(_sharing(stars, roots, least).distinct(), texts, least, units=False).where("linked").select("a", "b"), "late")
+            open_ = materialise(apart.select("band", "node", "meets"), "open", parts(n_members))
+    late = materialise(_compared(_sharing(stars, roots, least).distinct(), texts, least, units=False).where("linked").select("a", "b"), "late", parts(BANDS * n_members))
     if not late.isEmpty():
         roots = components(links.union(late))
     rooted = _with_root(signed.drop("bands"), roots, "node", "root")
