@@ -56,6 +56,12 @@ def test_equals_brute_force(spark, batches):
     assert all(r.n_removed == r.n_words - len(WORD.findall(r.kept)) for r in out)
 
 
+def test_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text + " z", "d", "e", "f")], "doc_id long, text string, _text string, _id string, _ string")
+    assert sorted(map(tuple, S.without_repeats(docs).collect())) == [(1, text, "a", "b", "c"), (2, "z", "d", "e", "f")]
+
+
 def test_repeated_rows_and_stage(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, "head\n" + text, 9), (3, "short\ntext", 9)], "doc_id long, text string, n_chars long")
@@ -65,19 +71,39 @@ def test_repeated_rows_and_stage(spark):
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_runs_are_compacted_and_sorted(spark):
-    index = S.FingerprintIndex(spark, scratch_path(spark, "test"))
+def test_runs_are_sorted_compacted_and_joined_without_a_shuffle(spark):
+    index = S.FingerprintIndex(spark, scratch_path(spark, "test"), buckets=4)
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(60))) for i in range(20)], "_id long, text string")
-    for k in range(6):
-        index.add(docs.where(F.col("_id") % 6 == k))
+    every = S.entries(docs)
+    found = [{r.fp for r in index.add(every.where(F.col("_id") % 6 == k)).collect()} for k in range(6)]
     assert [len(x) for x in index.levels] == [2, 1] and len(index.runs()) == 3
     for run in index.runs():
-        for part in spark.read.schema(index.SCHEMA).parquet(run).withColumn("p", F.input_file_name()).groupBy("p").agg(F.collect_list("fp").alias("f")).collect():
-            assert part.f == sorted(part.f)
-    one = S.FingerprintIndex(spark, scratch_path(spark, "test"))
-    one.add(docs)
-    sets = [{r._id: set(r.fps) for r in x.repeated().collect()} for x in (index, one)]
-    assert sets[0] == sets[1] and sets[0]
+        for part in spark.table(run).withColumn("p", F.input_file_name()).groupBy("p").agg(F.collect_list("fp").alias("f")).collect():
+            assert part.f == sorted(set(part.f))
+    many = {r.fp for r in every.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").collect()}
+    assert set().union(*found) == many and many
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        a, b = (spark.table(r).select("fp") for r in index.runs()[:2])
+        plan = a.join(b, "fp", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.name)]
+
+
+def test_new_batches_against_a_kept_index(spark):
+    rows = [(i, t) for i, t in corpus() if i is not None]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    want = {i: k for (i, _), (_, k) in zip(rows, brute(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index, got = S.FingerprintIndex(spark), {}
+    for low, high in ((0, 60), (60, 61), (61, 130), (130, 1000)):
+        out = S.deduplicate(docs.where(f"doc_id >= {low} and doc_id < {high}"), docs.where(f"doc_id < {low}"), index)
+        got |= {r.doc_id: r.kept for r in out.select("row.doc_id", "kept").collect()}
+    index.drop()
+    assert got == want
 
 
 def test_query_digest(spark, tmp_path):
