@@ -1,6 +1,6 @@
 """Sparse vectors: structs of dim, indices (0-based, ascending, distinct) and values (not zero), as Column expressions.
 
-Distances walk the union of both index sets, so their cost follows the stored entries, not the dimension.
+Distances merge the stored entries of both by index, so their cost follows those, not the dimension.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import _fold
+from quillon.functions.vectors import _fold, let
 
 TYPE = "struct<dim:int,indices:array<int>,values:array<float>>"
 MAX_DIM, MAX_ENTRIES = 1_000_000_000, 16_000
@@ -59,11 +59,25 @@ def _checked(a: Column, b: Column, result: Column) -> Column:
     return F.when(a["dim"] != b["dim"], F.raise_error(F.lit("different sparsevec dimensions")).cast("double")).otherwise(result)
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """(i, x, y) by index: an entry of each, one after the other where both store the index; what is not stored is 0."""
+    zero = F.lit(0.0)
+    one = F.zip_with(a["indices"], a["values"], lambda i, x: F.struct(i.alias("i"), x.cast("double").alias("x"), zero.alias("y")))
+    two = F.zip_with(b["indices"], b["values"], lambda i, y: F.struct(i.alias("i"), zero.alias("x"), y.cast("double").alias("y")))
+    return F.array_sort(F.concat(one, two))
+
+
 def _union(a: Vec, b: Vec, f) -> Column:
-    """The sum of f(x, y) over the indices that either stores."""
+    """The sum of f(x, y) over the indices that either stores; f(0, 0) is 0."""
     a, b = _c(a), _c(b)
-    of = lambda v, i: F.coalesce(F.try_element_at(F.map_from_arrays(v["indices"], v["values"]), i), F.lit(0.0).cast("float")).cast("double")
-    return _checked(a, b, _fold(F.transform(F.array_union(a["indices"], b["indices"]), lambda i: f(of(a, i), of(b, i)))))
+    state = lambda sum_, i, x, y: F.struct(sum_.alias("sum"), i.alias("i"), x.alias("x"), y.alias("y"))
+
+    def step(s: Column, e: Column) -> Column:
+        again = s["i"] == e["i"]
+        return F.when(again, state(s["sum"], s["i"], s["x"] + e["x"], s["y"] + e["y"])).otherwise(state(s["sum"] + f(s["x"], s["y"]), e["i"], e["x"], e["y"]))
+
+    start = state(F.lit(0.0), F.lit(-1), F.lit(0.0), F.lit(0.0))
+    return _checked(a, b, F.aggregate(_merged(a, b), start, step, lambda s: s["sum"] + f(s["x"], s["y"])))
 
 
 def inner_product(a: Vec, b: Vec) -> Column:
@@ -106,7 +120,12 @@ def l2_normalize(v: Vec) -> Column:
 def compare(a: Vec, b: Vec) -> Column:
     """The order of the dense vectors: at the first index where they differ, then by dimension."""
     a, b = _c(a), _c(b)
-    of = lambda v, i: F.coalesce(F.try_element_at(F.map_from_arrays(v["indices"], v["values"]), i), F.lit(0.0).cast("float"))
     shared = F.least(a["dim"], b["dim"])
-    signs = F.transform(F.filter(F.array_sort(F.array_union(a["indices"], b["indices"])), lambda i: i < shared), lambda i: F.when(of(a, i) < of(b, i), -1).when(of(a, i) > of(b, i), 1).otherwise(0))
-    return F.coalesce(F.get(F.filter(signs, lambda s: s != 0), F.lit(0)), F.when(a["dim"] < b["dim"], -1).when(a["dim"] > b["dim"], 1).otherwise(0))
+
+    def first(merged: Column) -> Column:
+        at = lambda e, k, c: F.when(F.get(merged, k)["i"] == e["i"], F.get(merged, k)[c]).otherwise(0.0)
+        sign = lambda e, k: F.signum(e["x"] + at(e, k - 1, "x") + at(e, k + 1, "x") - e["y"] - at(e, k - 1, "y") - at(e, k + 1, "y"))
+        signs = F.transform(merged, lambda e, k: F.when(e["i"] < shared, F.coalesce(sign(e, k), F.lit(0.0))).otherwise(0.0))
+        return F.get(F.filter(signs, lambda x: x != 0), F.lit(0)).cast("int")
+
+    return F.coalesce(let(_merged(a, b), first), F.when(a["dim"] < b["dim"], -1).when(a["dim"] > b["dim"], 1).otherwise(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.vectors import let
+
 Text = Column | str
 
 # Fixed values.
@@ -59,8 +61,11 @@ def normalise(t: Text) -> Column:
 
 def harm_match(t: Text) -> Column:
     """The first harm pattern that the normalised text matches, as matched; else NULL."""
-    n = normalise(t)
-    return F.coalesce(*[F.nullif(F.regexp_extract(n, p, 0), F.lit("")) for p in DENY])
+    def first(n: Column) -> Column:
+        match = F.coalesce(*[F.nullif(F.regexp_extract(n, p, 0), F.lit("")) for p in DENY])
+        return F.when(n.rlike("|".join(f"(?:{p})" for p in DENY)), match)
+
+    return let(normalise(t), first)
 
 
 def dark_match(t: Text) -> Column:
@@ -120,19 +125,27 @@ def embed(t: Text, dim: int = 768) -> Column:
 
     The 128-bit remainder is taken from four 32-bit pieces by Horner's rule, which stays within 64 bits.
     """
-    def bucket(w: Column) -> Column:
-        h, out = F.md5(w.cast("binary")), F.lit(0).cast("long")
+    def bucket(h: Column) -> Column:
+        out = F.lit(0).cast("long")
         for k in range(4):
             piece = F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
             out = (out * ((1 << 32) % dim) + piece) % dim
         return out.cast("int")
 
-    at = F.transform(tokens(F.lower(_c(t))), bucket)
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.map_from_entries(F.transform(F.array_distinct(at), lambda b: F.struct(b, F.size(F.filter(at, lambda x: x == b)).cast("double"))))
-    scale = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda s, x: s + x * x))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at(counts, i), F.lit(0.0)) / scale).cast("float"))
-    return F.when(F.size(at) > 0, dense).when(_c(t).isNotNull(), zero.cast("array<float>"))
+    def dense(at: Column) -> Column:
+        """at: the words' buckets in order. Runs of equal ones are counted, and zeros put between them."""
+        last = F.filter(F.transform(at, lambda b, k: F.struct(b.alias("b"), (k + 1).alias("end"), F.coalesce(F.get(at, k + 1) != b, F.lit(True)).alias("last"))), lambda r: r["last"])
+        runs = lambda r: F.transform(r, lambda e, k: F.struct(e["b"].alias("b"), (e["end"] - F.coalesce(F.get(r, k - 1)["end"], F.lit(0))).cast("double").alias("n")))
+        return let(let(last, runs), lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, e: s + e["n"] * e["n"])), lambda scale: filled(c, scale)))
+
+    def filled(c: Column, scale: Column) -> Column:
+        gap = lambda e, k: F.array_repeat(F.lit(0.0).cast("float"), e["b"] - F.coalesce(F.get(c, k - 1)["b"], F.lit(-1)) - 1)
+        parts = F.transform(c, lambda e, k: F.concat(gap(e, k), F.array((e["n"] / scale).cast("float"))))
+        return F.concat(F.flatten(parts), F.array_repeat(F.lit(0.0).cast("float"), dim - 1 - F.get(c, F.size(c) - 1)["b"]))
+
+    at = F.array_sort(F.transform(tokens(F.lower(_c(t))), lambda w: let(F.md5(w.cast("binary")), bucket)))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return let(at, lambda a: F.when(F.size(a) > 0, dense(a)).when(a.isNotNull(), zero))
 
 
 def embed_input(title: Text, text: Text) -> Column:

@@ -14,6 +14,11 @@ HALF_MAX = 65_504.0
 Vec = Column | str
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a function's variable, not a copy of its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _c(v: Vec) -> Column:
     return F.col(v) if isinstance(v, str) else v
 

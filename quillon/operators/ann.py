@@ -22,6 +22,9 @@ from quillon.functions.vectors import norm
 from quillon.operators.knn import distances, nearest
 
 
+SALT = 8  # tasks that write one list
+
+
 @dataclass(frozen=True)
 class IvfConfig:
     lists: int = 100
@@ -101,9 +104,14 @@ class IvfIndex:
         sample = rows.orderBy(F.xxhash64(key, F.lit(config.seed))).select(vec).limit(most).toPandas()[vec]
         x = np.stack(sample.to_numpy()).astype(np.float64) if len(sample) else np.empty((0, 1))
         self = cls(df.sparkSession, path, config, fit_centres(x, config.lists, config.metric != "l2", config.seed), vec, key)
-        self._assign(rows).repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+        self._write(self._assign(rows), path)
         return self
 
+    def _write(self, rows: DataFrame, path: str) -> None:
+        """A list is dealt to SALT tasks, so that one that has most rows is not one task's work."""
+        salted = rows.repartition("list_id", F.pmod(F.xxhash64(self.key), F.lit(SALT)))
+        salted.write.mode("overwrite").partitionBy("list_id").parquet(path)
+
     def _assign(self, rows: DataFrame) -> DataFrame:
         centres, vec, spherical = self.centres, self.vec, self.config.metric != "l2"
 
@@ -120,7 +128,7 @@ class IvfIndex:
     def delete(self, keys: DataFrame, path: str) -> None:
         """Write the index without these keys to a new path and use that."""
         left = self.spark.read.parquet(self.path).join(keys.select(self.key), self.key, "left_anti")
-        left.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+        self._write(left, path)
         self.path = path
 
     def lists_near(self, q: Sequence[float]) -> list[int]:
@@ -249,13 +257,13 @@ class Graph:
 class HnswIndex:
     """Graphs of shards as rows of a Parquet table: shard, keys, graph (pickled)."""
 
-    def __init__(self, spark: SparkSession, path: str, config: HnswConfig, key: str = "vec_id"):
-        self.spark, self.path, self.config, self.key = spark, path, config, key
+    def __init__(self, spark: SparkSession, path: str, config: HnswConfig, key: str = "vec_id", shards: int = 8):
+        self.spark, self.path, self.config, self.key, self.shards = spark, path, config, key, shards
 
     @classmethod
     def build(cls, df: DataFrame, path: str, config: HnswConfig = HnswConfig(), shards: int = 8, vec: str = "embedding", key: str = "vec_id") -> HnswIndex:
         """Choose as many shards as keep a shard within a worker's memory (about 50,000 vectors)."""
-        rows = indexable(df, vec, config.metric).select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
+        rows = indexable(df, vec, config.metric).select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
 
         def make(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("key")
@@ -263,7 +271,7 @@ class HnswIndex:
             return pd.DataFrame({"shard": [p["shard"].iloc[0]], "keys": [p["key"].tolist()], "graph": [pickle.dumps(graph)]})
 
         rows.groupBy("shard").applyInPandas(make, "shard int, keys array<long>, graph binary").write.mode("overwrite").parquet(path)
-        return cls(df.sparkSession, path, config, key)
+        return cls(df.sparkSession, path, config, key, shards)
 
     def search_batch(self, queries: DataFrame, k: int, ef: int | None = None, deleted: DataFrame | None = None, vec: str = "embedding") -> DataFrame:
         """query_id, key, distance, rank; deleted keys are skipped, and the walk widened until k others are found or max_scan is."""
@@ -272,14 +280,19 @@ class HnswIndex:
         from quillon.operators.knn import _blocks
 
         ef, key, most = max(ef or self.config.ef_search, k + 1), self.key, self.config.max_scan
-        gone = frozenset(r[0] for r in deleted.select(key).toLocalIterator()) if deleted is not None else frozenset()  # a tombstone list; rebuild when it grows
+        graphs = self.spark.read.parquet(self.path)
+        if deleted is None:
+            graphs = graphs.withColumn("gone", F.array().cast("array<long>"))
+        else:  # each shard gets its own part of the tombstones; rebuild when they grow
+            of = deleted.select(F.col(key).cast("long").alias("key")).distinct().groupBy(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"))
+            graphs = graphs.join(of.agg(F.collect_list("key").alias("gone")), "shard", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
         parts = []
         for ids, q in _blocks(queries, key, vec):
 
             def run(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
                 for b in batches:
                     for row in b.itertuples():
-                        graph, keys, out = pickle.loads(row.graph), row.keys, []
+                        graph, keys, gone, out = pickle.loads(row.graph), row.keys, frozenset(row.gone), []
                         for i, v in zip(ids, q):
                             wide = ef
                             while True:
@@ -290,7 +303,7 @@ class HnswIndex:
                             out += [(i, j, round(d, 9)) for j, d in found[:k]]
                         yield pd.DataFrame(out, columns=["query_id", key, "distance"])
 
-            parts.append(self.spark.read.parquet(self.path).mapInPandas(run, f"query_id long, {key} long, distance double"))
+            parts.append(graphs.mapInPandas(run, f"query_id long, {key} long, distance double"))
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)

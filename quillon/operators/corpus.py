@@ -57,13 +57,17 @@ def _listing(df: DataFrame, similarity: Column) -> DataFrame:
 
 
 def semantic_search(sections: DataFrame, status: DataFrame, q: Sequence[float], as_of: date, query: str = "", k: int = TOP_K, incident: date | None = None) -> DataFrame:
-    """The k nearest standing sections, less those under the floor; if none is left, keyword search."""
+    """The k nearest standing sections, less those under the floor; if none is left, keyword search.
+
+    The k rows are computed here, so that keywords are looked for only if there is none.
+    """
     near = standing(sections, status, as_of, incident).where(F.col("embedding").isNotNull()).withColumn("distance", cosine_distance("embedding", literal(q)))
     top = near.orderBy(F.col("distance").asc_nulls_last(), *KEY).limit(k).where(1 - F.col("distance") >= FLOOR)
     found = _listing(top, F.round(1 - F.col("distance"), 4))
-    words = keyword_search(sections, status, query, as_of, k, incident)
-    none = found.agg(F.count("*").alias("_n")).where("_n = 0").select(F.lit(1).alias("_one"))
-    return found.union(words.withColumn("_one", F.lit(1)).join(F.broadcast(none), "_one", "left_semi").drop("_one"))
+    rows = found.collect()
+    if not rows:
+        return keyword_search(sections, status, query, as_of, k, incident)
+    return sections.sparkSession.createDataFrame(rows, found.schema)
 
 
 def keyword_search(sections: DataFrame, status: DataFrame, query: str, as_of: date, k: int = TOP_K, incident: date | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,6 +194,23 @@ def provenance(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.withColumn("provenance", F.when(F.col("_known").isNull(), "unknown act").when(~F.col("_type").eqNullSafe("act"), "not an act").when(differs, "checksum differs").otherwise("ok")).drop("_type", "_sha", "_known")
 
 
+def bulk_ingest(documents: DataFrame, manifest: DataFrame, valid_from: date, highest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All acts at once: provenance, segmentation, verdicts, coverage and the gate.
+
+    Returns the sections to upsert (act_code, section_number, section_text, marginal_note, new_valid_from) of the acts that pass, and
+    for every act its error or NULL: one that fails keeps no other from being stored.
+    """
+    known = provenance(documents, manifest)
+    ok = known.where("provenance = 'ok'").drop("provenance")
+    judged = verdicts(segment(ok))
+    passed = gate(coverage(judged, contents(ok), highest)).select("act_code", F.col("error").alias("_gate"), F.lit(True).alias("_any"))
+    out = known.select("act_code", "provenance").join(passed, "act_code", "left")
+    error = F.when(F.col("provenance") != "ok", F.col("provenance")).when(F.col("_any").isNull(), "no sections").otherwise(F.col("_gate"))
+    sections = judged.where("verdict = 'accepted'").join(passed.where("_gate is null").select("act_code"), "act_code", "left_semi")
+    rows = sections.select("act_code", "section_number", "section_text", F.col("section_title").alias("marginal_note"), F.lit(valid_from).alias("new_valid_from"))
+    return rows, out.select("act_code", error.alias("error"))
+
+
 def resolve_valid_from(as_on: Column | str, commenced: Column | str) -> Column:
     """The text's own date, else the act's commencement, else an error: never today."""
     return F.coalesce(F.col(as_on) if isinstance(as_on, str) else as_on, F.col(commenced) if isinstance(commenced, str) else commenced, F.raise_error(F.lit("no date to take valid_from from")).cast("date"))

@@ -1,8 +1,8 @@
 """Nearest neighbours by exact scan: one query vector, a batch of queries, filters, radius, re-ranking and recall.
 
 A single query is a projection, a filter and a top-k that Spark keeps by task. A batch multiplies blocks of the data with
-blocks of QUERIES queries in numpy; each task keeps its k best of each query, so what is shuffled is k rows for each query
-and task, not the product.
+blocks of QUERIES queries in numpy; each slice of 2048 rows keeps its k best of each query, so what is shuffled is not the product. Zero vectors have no cosine
+distance: they come last, as NaN.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions.vectors import DISTANCES
 
 QUERIES = 4096  # in a block: what travels with the tasks is bounded
+CELLS, PAIRS = 1 << 22, 1 << 16  # numbers and pairs at once in a task
 
 
 def literal(q: Sequence[float]) -> Column:
@@ -32,19 +33,58 @@ def nearest(df: DataFrame, q: Sequence[float], k: int, metric: str = "l2", vec:
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """A row for each query, a column for each vector, in double precision."""
+    """A row for each query, a column for each vector, in double precision; l1 and l2 by differences, in blocks of bounded size."""
     if metric == "ip":
         return -(q @ x.T)
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             return 1 - np.clip((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)), -1, 1)
-    if metric == "l2":
-        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T, 0))
-    return np.abs(q[:, None, :] - x[None]).sum(2)
+    out = np.empty((len(q), len(x)))
+    step = max(1, CELLS // max(1, x.size))
+    for at in range(0, len(q), step):
+        diff = q[at : at + step, None, :] - x[None]
+        out[at : at + step] = np.abs(diff).sum(2) if metric == "l1" else np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def _l2_candidates(q: np.ndarray, x: np.ndarray, k: int, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that have all pairs among the k nearest: by the norms and products, whose rounding error is bounded."""
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    rough = qq[:, None] + xx - 2 * q @ x.T
+    error = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (qq + xx.max())
+    rough[same] = np.inf
+    bar = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    bar = bar + 2 * error + 4e-9 * np.sqrt(np.maximum(bar, 0) + error)  # the last term: ties to nine decimals
+    return np.nonzero(rough <= bar[:, None])
+
+
+def best(q: np.ndarray, x: np.ndarray, metric: str, k: int, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance to nine decimals) of each query's k nearest, the first vectors of equals; same: pairs to leave out.
+
+    NaN is the greatest distance.
+    """
+    k = min(k, len(x))
+    if metric == "l2" and np.isfinite(x).all() and np.isfinite(q).all():
+        i, j = _l2_candidates(q, x, k, same)
+        d = np.concatenate([np.sqrt(((q[i[a : a + PAIRS]] - x[j[a : a + PAIRS]]) ** 2).sum(1)) for a in range(0, len(i) or 1, PAIRS)])
+    else:
+        whole = distances(q, x, metric)
+        low = np.where(np.isnan(whole) | same, np.inf, whole)
+        bar = np.partition(low, k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(low <= bar[:, None] + 1e-9)
+        d = whole[i, j]
+    d = np.round(d, 9)
+    order = np.lexsort((j, d, i))  # numpy sorts NaN last
+    i, j, d = i[order], j[order], d[order]
+    keep = ~same[i, j]
+    i, j, d = i[keep], j[keep], d[keep]
+    first = np.searchsorted(i, np.arange(len(q)))
+    keep = np.arange(len(i)) - first[i] < k
+    return i[keep], j[keep], d[keep]
 
 
 def _blocks(queries: DataFrame, key: str, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    rows = queries.select(key, vec).where(F.col(vec).isNotNull())
+    rows = queries.select(key, vec).where(F.col(vec).isNotNull()).dropDuplicates([key])
     n = -(-rows.count() // QUERIES) or 1
     for k in range(n):
         part = (rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else rows).toPandas()
@@ -72,12 +112,9 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
                     of = np.unique(s.column(groups).to_numpy(zero_copy_only=False), return_inverse=True)[1] if groups else np.zeros(len(s), int)
                     for g in range(of.max() + 1):
                         rows_ = np.flatnonzero(of == g)
-                        d = np.round(distances(q, x[rows_], metric), 9)
-                        d[ids[:, None] == mine[rows_][None]] = np.inf
-                        keep = min(k, len(rows_))
-                        bar = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                        i, j = np.nonzero((d <= bar[:, None]) & (d != np.inf))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(mine[rows_][j]), pa.array(d[i, j])] + [s.column(c).take(pa.array(rows_[j])) for c in extra], ["query_id", key, "distance", *extra])
+                        rows_ = rows_[np.argsort(mine[rows_], kind="stable")]
+                        i, j, d = best(q, x[rows_], metric, k, ids[:, None] == mine[rows_][None])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(mine[rows_][j]), pa.array(d)] + [s.column(c).take(pa.array(rows_[j])) for c in extra], ["query_id", key, "distance", *extra])
 
         parts.append(rows.mapInArrow(run, f"query_id long, {key} long, distance double" + (f", {kind}" if kind else "")))
     if not parts:

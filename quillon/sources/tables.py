@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +50,13 @@ def first_non_empty(*frames: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; where none is set, as in tests, in a folder of our own."""
+    """A new path in the folder that the cluster shares; where none is set, in a temporary folder if all runs on this machine, else an error."""
     import tempfile
     import uuid
 
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillon-")
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        place = tempfile.mkdtemp(prefix="quillon-")
     return f"{place.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"

@@ -20,13 +20,43 @@ def points(spark):
 def test_batch_equals_single(points):
     q = points.where("vec_id % 100 = 0 and embedding is not null")
     for metric in ("l2", "ip", "cosine", "l1"):
-        base = points.where("vec_id <> 901")
-        got = {(r.query_id, r["rank"]): r.vec_id for r in knn.nearest_batch(base, q, 5, metric).collect()}
+        got = {(r.query_id, r["rank"]): r.vec_id for r in knn.nearest_batch(points, q, 5, metric).collect()}
         for r in q.where("vec_id in (0, 300)").collect():
-            want = [s.vec_id for s in knn.nearest(base.where(F.col("vec_id") != r.vec_id), r.embedding, 5, metric).collect()]
+            want = [s.vec_id for s in knn.nearest(points.where(F.col("vec_id") != r.vec_id), r.embedding, 5, metric).collect()]
             assert [got[r.vec_id, k] for k in range(1, 6)] == want
 
 
+def test_zero_vectors_come_last_and_lose_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (4, [0.0, 0.0]), (5, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    out = knn.nearest_batch(df, df.where("vec_id = 1"), 10, "cosine").orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [3, 2, 4, 4] and all(np.isnan(r.distance) for r in out[1:])
+    assert [r.vec_id for r in knn.nearest_batch(df, df.where("vec_id = 4"), 2, "cosine").orderBy("query_id", "rank").collect()] == [1, 2]  # all are NaN: by key
+
+
+def test_l2_of_long_vectors_close_to_each_other():
+    rng = np.random.default_rng(5)
+    x = (8e6 + rng.normal(size=(500, 16)) * 0.01)
+    q = x[:20] + 0.001
+    none = np.zeros((20, 500), bool)
+    i, j, d = knn.best(q, x, "l2", 7, none)
+    exact = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2)).round(9)
+    for k in range(20):
+        want = np.lexsort((np.arange(500), exact[k]))[:7]
+        assert (j[i == k] == want).all() and np.allclose(d[i == k], exact[k][want], atol=1e-9, rtol=0)
+    for metric in ("l1", "ip", "cosine"):
+        whole = knn.distances(q, x, metric).round(9)
+        i, j, d = knn.best(q, x, metric, 7, none)
+        assert all((j[i == k] == np.lexsort((np.arange(500), whole[k]))[:7]).all() for k in range(20))
+
+
+def test_blocks_of_l1_are_bounded(monkeypatch):
+    monkeypatch.setattr(knn, "CELLS", 64)
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(9, 5)), rng.normal(size=(30, 5))
+    assert np.allclose(knn.distances(q, x, "l1"), np.abs(q[:, None] - x[None]).sum(2)) and np.allclose(knn.distances(q, x, "l2"), np.sqrt(((q[:, None] - x[None]) ** 2).sum(2)))
+
+
 def test_ivf(spark, points, tmp_path):
     q = points.where("vec_id % 50 = 0 and vec_id < 800")
     index = IvfIndex.build(points, f"{tmp_path}/a", IvfConfig(lists=10, probes=5, metric="l2"))
@@ -50,7 +80,7 @@ def test_hnsw(spark, points, tmp_path):
     q = points.where("vec_id % 50 = 0 and vec_id < 800")
     for metric in ("l2", "cosine", "l1"):
         index = HnswIndex.build(points, f"{tmp_path}/{metric}", HnswConfig(metric=metric), shards=2)
-        exact = knn.nearest_batch(points.where("vec_id <> 901") if metric == "cosine" else points, q, 10, metric)
+        exact = knn.nearest_batch(points, q, 10, metric)
         assert knn.recall(index.search_batch(q, 10), exact).agg(F.avg("recall")).first()[0] > 0.97
     gone = points.where("vec_id % 2 = 1").select("vec_id")
     out = index.search_batch(q, 10, deleted=gone)

@@ -155,3 +155,53 @@ def test_logs(spark):
     assert [tuple(r) for r in logs.over_rate(e, "user_id", t, 3).collect()] == [(1, 5)]
     assert logs.retain(e, t).count() == 6 and logs.listing(e, "ts", 2, 4).count() == 3
     assert logs.flag(e, logs.over_rate(e, "user_id", t, 3), "user_id", "r").where("is_flagged").count() == 5
+
+
+def test_bulk_ingest_keeps_failures_apart(spark):
+    import hashlib
+    from datetime import date
+
+    from quillon.operators import corpus, ingest
+
+    body = "Whoever does a thing that this section names shall be punished with a fine. "
+    text = lambda gap: "ARRANGEMENT OF SECTIONS\nCHAPTER I\n" + "\n".join(f"{i}. Title" for i in range(1, 21)) + "\nCHAPTER I\n" + "\n".join(f"{i}. {body}" for i in range(1, 21) if i != gap)
+    acts = [("A", "gazette", text(0)), ("B", "gazette", text(0)), ("C", "gazette", ""), ("D", "gazette", text(0)), ("E", "gazette", text(0))]
+    docs = spark.createDataFrame(acts, "act_code string, family string, text string")
+    known = spark.createDataFrame([("A", "act", hashlib.sha256(acts[0][2].encode()).hexdigest()), ("B", "rule", None), ("C", "act", None), ("D", "act", "00")], "act_code string, document_type string, sha256 string")
+    sections, outcome = ingest.bulk_ingest(docs, known, date(2024, 1, 1))
+    got = {r.act_code: r.error for r in outcome.collect()}
+    assert got["B"] == "not an act" and got["C"] == "no sections" and got["D"] == "checksum differs" and got["E"] == "unknown act"
+    # The contents' own lines are candidates of their numbers, too, so act A is rejected for its share of rejected rows.
+    assert got["A"] == "rejection rate over the limit" and sections.count() == 0
+    loose = spark.createDataFrame([("A", "gazette", "\n".join(f"{i}. {body}" for i in range(1, 21)))], "act_code string, family string, text string")
+    highest = spark.createDataFrame([("A", 20)], "act_code string, highest int")
+    sections, outcome = ingest.bulk_ingest(loose, spark.createDataFrame([("A", "act", None)], "act_code string, document_type string, sha256 string"), date(2024, 1, 1), highest)
+    assert [tuple(r) for r in outcome.collect()] == [("A", None)] and sections.count() == 20
+    none = spark.createDataFrame([], "act_code string, section_number string, version_no int, section_text string, marginal_note string, valid_from date, valid_to date")
+    assert corpus.upsert(none, sections).where("action = 'insert'").count() == 20
+
+
+def test_place_numbers_all_rows_in_order(spark):
+    from quillon.operators.ordering import place
+
+    rows = [(k * 7919 % 1009, [float(k % 13), 1.0]) for k in range(1009)]
+    out = place(spark.createDataFrame(rows, "id long, v array<float>").repartition(7), "v", "id").collect()
+    want = {i: n for n, (_, i) in enumerate(sorted((v, i) for i, v in rows), 1)}
+    assert {r.id: r.place for r in out} == want
+    assert place(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_embedder_equals_a_plain_one(spark):
+    import hashlib
+
+    from quillon.functions import text as X
+
+    texts = ["the cat the hat", "", "  ", None, "one", "A a A b\tc\nd " * 300]
+    for dim in (7, 768):
+        out = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.embed("t", dim).alias("v")).orderBy("i").collect()]
+        for t, v in zip(texts, out):
+            want = [0.0] * dim
+            for w in (t or "").lower().split():
+                want[int(hashlib.md5(w.encode()).hexdigest(), 16) % dim] += 1
+            norm = sum(x * x for x in want) ** 0.5
+            assert v is None if t is None else all(abs(a - (b / norm if norm else 0)) < 1e-6 for a, b in zip(v, want)) and len(v) == dim
