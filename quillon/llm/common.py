@@ -7,6 +7,9 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,9 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 ROWS_IN_PART = 50_000
 
-_scratch: list[str] = []
+#: Scratch tables by who made them.
+_scratch: dict[str, list[str]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="query")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; release() deletes it."""
+    """A new path in the shared folder; release() of its owner deletes it."""
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    _scratch.setdefault(_owner.get(), []).append(path)
     return path
 
 
@@ -63,10 +68,21 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables. Call it only when no result that was built on them is still to be computed."""
-    while _scratch:
-        delete(spark, _scratch.pop())
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables made within belong to `owner`."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, owner: str = "query") -> None:
+    """Delete an owner's scratch tables. Call it only when no result that was built on them is still to be computed; results of
+    queries read theirs until then, so they stay as long as the application unless this is called."""
+    for path in _scratch.pop(owner, []):
+        delete(spark, path)
 
 
 def collect_garbage(spark: SparkSession) -> None:

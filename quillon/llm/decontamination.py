@@ -14,8 +14,8 @@ dynamic programming, must be at most EDIT_RATE of the item's words. One pass ove
 the tasks in blocks of MAX_ITEMS at most; more items take more passes.
 
 Defined cases: null or empty texts match nothing; items of fewer than MIN_WORDS words must be there word for word, as with edits
-they would be found in clean text; items without words match nothing; null item_id stays null; repeated items are found each; repeated rows are judged alike; empty tables give no
-matches; extra columns stay, whatever their names.
+they would be found in clean text; items without words match nothing; null item_id stays null; repeated items are found each; repeated rows are judged alike; very
+long texts are taken whole, in parts that overlap by a window; empty tables give no matches; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations

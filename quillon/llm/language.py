@@ -12,7 +12,7 @@ without a shuffle.
 
 Defined cases: null texts and texts without a letter get `und` with score 0 and are rejected; a language without training
 text is never predicted; with no training text at all everything is `und`; ties go to the first language by name;
-repeated rows get the same; empty tables give no rows; extra columns do not matter.
+very long texts are taken whole; repeated rows get the same; empty tables give no rows; extra columns do not matter.
 """
 
 from __future__ import annotations

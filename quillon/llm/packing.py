@@ -13,7 +13,7 @@ Words are tokenized once in a worker and cached (at most CACHE of them): the tok
 are those of its words in a row.
 
 Defined cases: null text is an empty one (only the end mark); repeated rows and null ids are documents of their own; a text
-longer than a sequence spans several; an empty table gives no pieces; extra columns do not matter.
+longer than a sequence spans several, however long it is; an empty table gives no pieces; extra columns do not matter.
 """
 
 from __future__ import annotations

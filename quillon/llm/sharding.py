@@ -10,7 +10,7 @@ Positions in a shard need no sort of a whole shard: rows are numbered within sma
 doc_id), and each piece starts where the counts before it end. A text that a third of all rows share falls into 256 pieces.
 
 Defined cases: null text counts as empty (size 1, CRC 0) and joins the group of empty texts; rows repeated with the same
-doc_id are rows of their own; null doc_id is a row like any other (first among ties); an empty table gives no rows; fewer
+doc_id are rows of their own; very long texts count by their bytes; null doc_id is a row like any other (first among ties); an empty table gives no rows; fewer
 groups than shards leave shards empty; extra columns are ignored. One group larger than the fair share makes its shard
 that large: groups are never cut.
 """

@@ -11,7 +11,7 @@ salt gets all events (two for a rule's host). Rules are swept in blocks of MAX_R
 urls is bounded; the longest rule over the blocks decides.
 
 Defined cases: null url or no "://" gives empty host and path, which no rule fits; ties in length go to the longer host,
-then to the greater rule string; repeated rows stay; an empty table gives no rows; other columns are ignored.
+then to the greater rule string; very long urls are taken whole; repeated rows stay; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
