@@ -3,45 +3,75 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of the
 next one. All but the last return the columns of documents. A stage begins by deleting the scratch tables of stages before
 it: their results are written by then.
+
+Defined cases, of every stage: an empty table gives an empty one; other columns of docs, whatever their names, stay with their row;
+texts are taken whole, however long.
+
+- quality rules: a null or empty text has fewer than 20 words and goes; repeated rows are judged alike; a null doc_id is never trusted.
+- MinHash near-dedup: null text counts as empty; of equal or near texts the row of least doc_id stays (null last), of rows with the same
+  doc_id the one whose JSON has the least hash.
+- substring dedup: a null text stays null; rows of one doc_id are one document; a null doc_id comes after all others; a text that is
+  repeated whole becomes an empty one.
+- benchmark decontamination: a null or empty text holds no item and stays; null or empty items match nothing.
+- packing: null text counts as empty, of which only the closing token is packed; repeated rows are packed each.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontamination, near_dup, packing, quality, substring_dedup
-from quillon.llm.common import collect_garbage, delete, release, shared_dir, table
+from quillon.llm.common import collect_garbage, delete, owned, release, shared_dir, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+OWNER = "pipeline"
+
+
+def stage(f: Stage) -> Stage:
+    """The stage, with the scratch tables of the one before it deleted first; those of other queries stay."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, OWNER)
+        with owned(OWNER):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    release(spark)
     return quality.keep(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that of least doc_id."""
-    release(spark)
     return near_dup.keep_one(docs)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 20 words that start earlier in the corpus; a text that is repeated whole stays as an empty one."""
-    release(spark)
     return substring_dedup.without_repeats(docs)
 
 
+@stage
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    release(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 4096 tokens."""
-    release(spark)
     return packing.digest(packing.pack(docs))
 
 
