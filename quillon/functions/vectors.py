@@ -84,8 +84,7 @@ DISTANCES = {"l2": l2_distance, "ip": negative_inner_product, "cosine": cosine_d
 
 def l2_normalize(v: Vec) -> Column:
     """A zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: (x / n).cast("float"))).otherwise(_c(v))
+    return let(_c(v), lambda w: let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: (x / n).cast("float"))).otherwise(w)))
 
 
 def _finite(v: Column, what: str) -> Column:

@@ -3,7 +3,9 @@
 Inverted lists: centres are fitted on a bounded sample (max(10,000, 50 for each list)), every row is assigned to its nearest
 centre and written under its list, so a search reads the probed lists' folders alone. Layered graphs: every shard of the
 table gets a graph of its own (a shard fits a Python worker, whatever the table's size), a search asks all shards and
-merges exactly. Both leave out NULL vectors and, for cosine, zero vectors.
+merges exactly. Both leave out NULL vectors and, for cosine, zero vectors. A query of NULL has k rows without a distance.
+
+Half, bit and sparse vectors are indexed by their elements (prepared()): half ones rounded, bits as 0 and 1, sparse ones filled up.
 """
 
 from __future__ import annotations
@@ -18,13 +20,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.vectors import norm
+from quillon.functions import sparse
+from quillon.functions.vectors import norm, to_half
 from quillon.operators.knn import distances, nearest
 
 
 SALT = 8  # tasks that write one list
 
 
+#: How many dimensions an index takes (of sparse vectors: stored entries), and its metrics.
+LIMITS = {"vector": 2000, "half": 4000, "bit": 64_000, "sparse": 1000}
+IVF_METRICS = {"vector": ("l2", "ip", "cosine"), "half": ("l2", "ip", "cosine"), "bit": ("hamming",)}
+HNSW_METRICS = {"vector": ("l2", "ip", "cosine", "l1"), "half": ("l2", "ip", "cosine", "l1"), "bit": ("hamming", "jaccard"), "sparse": ("l2", "ip", "cosine", "l1")}
+
+
+def _check(kind: str, metric: str, known: dict[str, tuple[str, ...]]) -> None:
+    if metric not in known.get(kind, ()):
+        raise ValueError(f"no such index: {kind} by {metric}")
+
+
 @dataclass(frozen=True)
 class IvfConfig:
     lists: int = 100
@@ -32,12 +46,12 @@ class IvfConfig:
     max_probes: int | None = None
     metric: str = "l2"
     seed: int = 0
+    kind: str = "vector"
 
     def __post_init__(self):
         if not 1 <= self.lists <= 32768 or not 1 <= self.probes <= 32768:
             raise ValueError("lists and probes must be 1 to 32768")
-        if self.metric not in ("l2", "ip", "cosine"):
-            raise ValueError(f"inverted lists do not support {self.metric}")
+        _check(self.kind, self.metric, IVF_METRICS)
 
 
 @dataclass(frozen=True)
@@ -48,14 +62,31 @@ class HnswConfig:
     max_scan: int = 20_000
     metric: str = "l2"
     seed: int = 0
+    kind: str = "vector"
 
     def __post_init__(self):
         if not 2 <= self.m <= 100 or not 4 <= self.ef_construction <= 1000 or not 1 <= self.ef_search <= 1000:
             raise ValueError("m must be 2 to 100, ef_construction 4 to 1000, ef_search 1 to 1000")
         if self.ef_construction < 2 * self.m:
-            raise ValueError("ef_construction must be at least 2 * m")
-        if self.metric not in ("l2", "ip", "cosine", "l1"):
-            raise ValueError(f"unknown metric {self.metric}")
+            raise ValueError("ef_construction must be 2 * m at least")
+        _check(self.kind, self.metric, HNSW_METRICS)
+
+
+def prepared(df: DataFrame, vec: str, kind: str) -> DataFrame:
+    """df with its vectors as arrays of numbers; those beyond the index's limit are an error."""
+    v = F.col(vec)
+    size = {"vector": F.size(v), "half": F.size(v), "bit": v["len"] if kind == "bit" else None, "sparse": F.size(v["values"]) if kind == "sparse" else None}[kind]
+    if kind == "half":
+        made = to_half(vec)
+    elif kind == "bit":
+        made = F.transform(F.sequence(F.lit(0), v["len"] - 1), lambda i: F.call_function("shiftrightunsigned", F.get(v["words"], F.floor(i / 64).cast("int")), 63 - i % 64).bitwiseAND(F.lit(1).cast("long")).cast("float"))
+    elif kind == "sparse":
+        made = sparse.to_dense(vec)
+    else:
+        made = v
+    unit = "non-zero elements" if kind == "sparse" else "dimensions"
+    over = F.raise_error(F.lit(f"{kind} index takes {LIMITS[kind]} {unit} at most")).cast("array<float>")
+    return df.withColumn(vec, F.when(size > LIMITS[kind], over).otherwise(made))
 
 
 def indexable(df: DataFrame, vec: str, metric: str) -> DataFrame:
@@ -99,11 +130,11 @@ class IvfIndex:
 
     @classmethod
     def build(cls, df: DataFrame, path: str, config: IvfConfig = IvfConfig(), vec: str = "embedding", key: str = "vec_id") -> IvfIndex:
-        rows = indexable(df, vec, config.metric)
+        rows = indexable(prepared(df, vec, config.kind), vec, config.metric)
         most = max(10_000, 50 * config.lists)
         sample = rows.orderBy(F.xxhash64(key, F.lit(config.seed))).select(vec).limit(most).toPandas()[vec]
         x = np.stack(sample.to_numpy()).astype(np.float64) if len(sample) else np.empty((0, 1))
-        self = cls(df.sparkSession, path, config, fit_centres(x, config.lists, config.metric != "l2", config.seed), vec, key)
+        self = cls(df.sparkSession, path, config, fit_centres(x, config.lists, config.metric in ("ip", "cosine"), config.seed), vec, key)
         self._write(self._assign(rows), path)
         return self
 
@@ -113,7 +144,7 @@ class IvfIndex:
         salted.write.mode("overwrite").partitionBy("list_id").parquet(path)
 
     def _assign(self, rows: DataFrame) -> DataFrame:
-        centres, vec, spherical = self.centres, self.vec, self.config.metric != "l2"
+        centres, vec, spherical = self.centres, self.vec, self.config.metric in ("ip", "cosine")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -123,7 +154,7 @@ class IvfIndex:
         return rows.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, list_id int")
 
     def insert(self, df: DataFrame) -> None:
-        self._assign(indexable(df, self.vec, self.config.metric)).write.mode("append").partitionBy("list_id").parquet(self.path)
+        self._assign(indexable(prepared(df, self.vec, self.config.kind), self.vec, self.config.metric)).write.mode("append").partitionBy("list_id").parquet(self.path)
 
     def delete(self, keys: DataFrame, path: str) -> None:
         """Write the index without these keys to a new path and use that."""
@@ -132,22 +163,25 @@ class IvfIndex:
         self.path = path
 
     def lists_near(self, q: Sequence[float]) -> list[int]:
-        return np.argsort(_rank(np.asarray([q], np.float64), self.centres, self.config.metric != "l2")[0], kind="stable").tolist()
+        return np.argsort(_rank(np.asarray([q], np.float64), self.centres, self.config.metric in ("ip", "cosine"))[0], kind="stable").tolist()
 
     def search(self, q: Sequence[float], k: int, probes: int | None = None, where: Column | None = None, iterative: bool = False) -> DataFrame:
         """The k nearest in the probed lists; iterative: more lists, up to max_probes, until k rows pass the filter."""
+        if q is None:
+            rows = self.spark.read.parquet(self.path)
+            return (rows if where is None else rows.where(where)).withColumn("distance", F.lit(None).cast("double")).limit(k)
         order, n = self.lists_near(q), probes or self.config.probes
         rows = self.spark.read.parquet(self.path)
         most = min(self.config.max_probes or len(order), len(order))
         while True:
-            out = nearest(rows.where(F.col("list_id").isin(order[:n])), q, k, self.config.metric, self.vec, self.key, where)
+            out = nearest(rows.where(F.col("list_id").isin(order[:n])), q, k, _column_metric(self.config.metric), self.vec, self.key, where)
             if not iterative or n >= most or out.count() >= k:
                 return out
             n = min(most, n + self.config.probes)
 
     def search_batch(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """query_id, key, distance, rank: each query against its own probed lists, by an equi-join on the list."""
-        centres, spherical, n, vec, key, metric = self.centres, self.config.metric != "l2", probes or self.config.probes, self.vec, self.key, self.config.metric
+        centres, spherical, n, vec, key, metric = self.centres, self.config.metric in ("ip", "cosine"), probes or self.config.probes, self.vec, self.key, self.config.metric
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -155,17 +189,22 @@ class IvfIndex:
                     at = np.argsort(_rank(np.stack(b["q"].to_numpy()).astype(np.float64), centres, spherical), axis=1, kind="stable")[:, :n]
                     yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), at.shape[1]), "q": np.repeat(b["q"].to_numpy(), at.shape[1]), "list_id": at.ravel().astype(np.int32)})
 
-        probes_ = indexable(queries, vec, metric).select(F.col(key).alias("query_id"), F.col(vec).alias("q")).mapInPandas(probe, "query_id long, q array<float>, list_id int")
+        probes_ = indexable(prepared(queries, vec, self.config.kind), vec, metric).select(F.col(key).alias("query_id"), F.col(vec).alias("q")).mapInPandas(probe, "query_id long, q array<float>, list_id int")
         from pyspark.sql import Window
 
         from quillon.functions.vectors import DISTANCES
 
         met = probes_.join(self.spark.read.parquet(self.path), "list_id").where(F.col("query_id") != F.col(key))
-        met = met.select("query_id", key, F.round(DISTANCES[metric](vec, "q"), 9).alias("distance"))
+        met = met.select("query_id", key, F.round(DISTANCES[_column_metric(metric)](vec, "q"), 9).alias("distance"))
         w = Window.partitionBy("query_id").orderBy("distance", key)
         return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _column_metric(metric: str) -> str:
+    """Bits are stored as 0 and 1."""
+    return "l1" if metric == "hamming" else metric
+
+
 def _rank(x: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarray:
     return -(x @ centres.T) if spherical else (centres * centres).sum(1) - 2 * x @ centres.T
 
@@ -245,6 +284,15 @@ class Graph:
         if top > high:
             self.entry = i
 
+    def extend(self, x: np.ndarray) -> None:
+        """Insert more vectors."""
+        n = len(self.x)
+        rng = np.random.default_rng((self.c.seed, n))
+        more = np.minimum((-np.log(1 - rng.random(len(x))) / np.log(self.c.m)).astype(int), 30)
+        self.x, self.levels = np.vstack([self.x, x]), np.append(self.levels, more)
+        for i in range(n, n + len(x)):
+            self._insert(i)
+
     def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
@@ -263,7 +311,7 @@ class HnswIndex:
     @classmethod
     def build(cls, df: DataFrame, path: str, config: HnswConfig = HnswConfig(), shards: int = 8, vec: str = "embedding", key: str = "vec_id") -> HnswIndex:
         """Choose as many shards as keep a shard within a worker's memory (about 50,000 vectors)."""
-        rows = indexable(df, vec, config.metric).select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
+        rows = indexable(prepared(df, vec, config.kind), vec, config.metric).select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
 
         def make(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("key")
@@ -273,6 +321,25 @@ class HnswIndex:
         rows.groupBy("shard").applyInPandas(make, "shard int, keys array<long>, graph binary").write.mode("overwrite").parquet(path)
         return cls(df.sparkSession, path, config, key, shards)
 
+    def insert(self, df: DataFrame, path: str, vec: str = "embedding") -> None:
+        """Write the index with more vectors to a new path and use that: each shard's graph takes in its own."""
+        key, shards, config = self.key, self.shards, self.config
+        rows = indexable(prepared(df, vec, config.kind), vec, config.metric).select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("key"), F.col(vec).alias("vec"))
+
+        def add(shard: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            new = new.sort_values("key")
+            keys, graph = (list(old["keys"].iloc[0]), pickle.loads(old["graph"].iloc[0])) if len(old) else ([], None)
+            if len(new):
+                x = np.stack(new["vec"].to_numpy()).astype(np.float64)
+                graph = graph or Graph(x[:0], config)
+                graph.x = graph.x.reshape(-1, x.shape[1])
+                graph.extend(x)
+            return pd.DataFrame({"shard": [shard[0]], "keys": [keys + new["key"].tolist()], "graph": [pickle.dumps(graph)]})
+
+        both = self.spark.read.parquet(self.path).groupBy("shard").cogroup(rows.groupBy("shard"))
+        both.applyInPandas(add, "shard int, keys array<long>, graph binary").write.mode("overwrite").parquet(path)
+        self.path = path
+
     def search_batch(self, queries: DataFrame, k: int, ef: int | None = None, deleted: DataFrame | None = None, vec: str = "embedding") -> DataFrame:
         """query_id, key, distance, rank; deleted keys are skipped, and the walk widened until k others are found or max_scan is."""
         from pyspark.sql import Window
@@ -287,7 +354,7 @@ class HnswIndex:
             of = deleted.select(F.col(key).cast("long").alias("key")).distinct().groupBy(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"))
             graphs = graphs.join(of.agg(F.collect_list("key").alias("gone")), "shard", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
         parts = []
-        for ids, q in _blocks(queries, key, vec):
+        for ids, q in _blocks(indexable(prepared(queries, vec, self.config.kind), vec, self.config.metric), key, vec):
 
             def run(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
                 for b in batches:

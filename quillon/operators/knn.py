@@ -39,11 +39,15 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             return 1 - np.clip((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)), -1, 1)
+    if metric == "jaccard":  # of vectors of 0 and 1
+        both = q @ x.T
+        either = q.sum(1)[:, None] + x.sum(1) - both
+        return np.where(both > 0, 1 - both / np.maximum(either, 1), 1.0)
     out = np.empty((len(q), len(x)))
     step = max(1, CELLS // max(1, x.size))
     for at in range(0, len(q), step):
         diff = q[at : at + step, None, :] - x[None]
-        out[at : at + step] = np.abs(diff).sum(2) if metric == "l1" else np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        out[at : at + step] = np.abs(diff).sum(2) if metric in ("l1", "hamming") else np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
     return out
 
 
@@ -138,6 +142,14 @@ def recall(approximate: DataFrame, exact: DataFrame, key: str = "vec_id") -> Dat
     return hits.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def tied_recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
+    """query_id, recall: the share of each query's neighbours that are no farther than its last exact one; for distances with many ties."""
+    bar = exact.groupBy("query_id").agg(F.max("distance").alias("bar"), F.count("*").alias("n"))
+    hits = bar.join(approximate.select("query_id", "distance"), "query_id", "left").groupBy("query_id", "n")
+    near = F.count(F.when(F.col("distance") <= F.col("bar") + 1e-9, 1))
+    return hits.agg((F.least(near, F.col("n")) / F.col("n")).alias("recall")).drop("n")
+
+
 def reciprocal_rank_fusion(rankings: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
     """key, score: the sum of 1 / (k + rank) over rankings with a column `rank`."""
     parts = [r.select(key, (1 / (k + F.col("rank"))).alias("part")) for r in rankings]

@@ -494,4 +494,4 @@ def rank_fusion(spark, sf):
     return knn.reciprocal_rank_fusion([near, label], "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
-from quillon.plans import statutes  # noqa: E402,F401  registers its queries
+from quillon.plans import listings, spaces, statutes  # noqa: E402,F401  register their queries

@@ -117,3 +117,46 @@ def test_streams(spark, tmp_path):
     fetched = spark.readStream.schema("act_code string, section_number string, section_text string").parquet(f"{tmp_path}/f")
     stage_stream(fetched, lambda: current, f"{tmp_path}/q", f"{tmp_path}/c2").awaitTermination(120)
     assert sorted(r.summary for r in spark.read.parquet(f"{tmp_path}/q").collect()) == ["3 -> 3 chars", "new section, 1 chars"]
+
+
+def test_half_bit_and_sparse_indexes(spark, tmp_path):
+    from quillon.functions import sparse as S
+    from quillon.functions import vectors as V
+    from quillon.operators.ann import prepared
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 52)).astype(np.float32)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    made = {"half": V.to_half("embedding"), "bit": V.binary_quantize("embedding"), "sparse": S.from_dense(F.transform("embedding", lambda y: F.when(F.abs(y) < 0.8, F.lit(0.0).cast("float")).otherwise(y)))}
+    for kind, metric, floor in (("half", "l2", 0.98), ("bit", "hamming", 0.98), ("bit", "jaccard", 0.95), ("sparse", "l2", 0.98)):
+        df = base.withColumn("embedding", made[kind])
+        plain = prepared(df, "embedding", kind)
+        exact = knn.nearest_batch(plain, plain.where("vec_id % 40 = 0"), 10, metric)
+        index = HnswIndex.build(df.where("vec_id < 300"), f"{tmp_path}/{kind}{metric}", HnswConfig(metric=metric, kind=kind), shards=2)
+        index.insert(df.where("vec_id >= 300"), f"{tmp_path}/{kind}{metric}2")
+        got = index.search_batch(df.where("vec_id % 40 = 0"), 10)
+        assert knn.tied_recall(got, exact).agg(F.avg("recall")).first()[0] >= floor, (kind, metric)
+    bits = prepared(base.withColumn("embedding", made["bit"]), "embedding", "bit").orderBy("vec_id").limit(5).collect()
+    assert [r.embedding for r in bits] == [[float(y > 0) for y in v.tolist()] for v in x[:5]]
+    with pytest.raises(ValueError):
+        IvfConfig(kind="bit", metric="jaccard")
+    with pytest.raises(ValueError):
+        IvfConfig(kind="sparse", metric="l2")
+    wide = spark.createDataFrame([(1, [0.5] * 2001)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="2000 dimensions"):
+        prepared(wide, "embedding", "vector").collect()
+    assert prepared(wide, "embedding", "half").count() == 1
+    ivf = IvfIndex.build(base, f"{tmp_path}/null", IvfConfig(lists=4))
+    assert [r.distance for r in ivf.search(None, 3).collect()] == [None] * 3
+
+
+def test_complaint_and_listings(spark):
+    from quillon.operators import listings as L
+
+    dates = {"on 3/12/2024 and 4/1/2024": "2024-03-12", "on 2024-02-30": None, "12-March-2024": "2024-03-12", "Mar 5, 2023.": "2023-03-05", "none": None, "": None}
+    out = {r.t: r.d for r in spark.createDataFrame([(k,) for k in dates], "t string").select("t", L.first_date("t").alias("d")).collect()}
+    assert out == dates
+    s = spark.createDataFrame([("IPC", "12A", "a_b", None), ("ipc", "2", "axb", None), ("BNS", "2", None, "x")], "act_code string, section_number string, marginal_note string, valid_to string").selectExpr("*", "'t' as section_text", "cast(null as string) as category")
+    assert [r.section_number for r in L.browse(s, "Ipc", "A_B").collect()] == ["12A"] and L.act_like(s, "i_c").count() == 2
+    cited = spark.createDataFrame([("bns", "2"), ("ipc", "12"), (None, None)], "act string, number string")
+    assert sorted((str(r.act), r.found) for r in L.check_citations(cited, s).collect()) == [("None", False), ("bns", True), ("ipc", False)]
