@@ -23,6 +23,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.vectors import let
 from quillon.llm.common import table
 
 CRLF = "\r\n"
@@ -46,7 +47,7 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
-    out = _decoded(out)
+    out = let(out, _decoded)
     for pattern, to in BLANKS:
         out = F.regexp_replace(out, pattern, to)
     return out
@@ -56,18 +57,19 @@ def _decoded(text: Column) -> Column:
     """Character references as their characters; what is none, or none that Unicode has, stays. Texts without any are not touched."""
     names = F.create_map(*[F.lit(x) for item in sorted(NAMED.items()) for x in item])
 
-    def one(part: Column) -> Column:
-        ref = F.regexp_extract(part, REFERENCE, 1)
-        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
-        number = F.when(hexadecimal, F.conv(F.substring(ref, 3, 9), 16, 10).try_cast("int")).otherwise(F.substring(ref, 2, 9).try_cast("int"))
-        code = F.when(F.startswith(ref, F.lit("#")), number).otherwise(F.try_element_at(names, ref))
-        valid = (ref != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    def code(ref: Column) -> Column:
+        hexadecimal = F.conv(F.substring(ref, 3, 9), 16, 10).try_cast("int")
+        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", hexadecimal).otherwise(F.substring(ref, 2, 9).try_cast("int"))
+        return F.when(ref == "", F.lit(0)).when(F.startswith(ref, F.lit("#")), number).otherwise(F.try_element_at(names, ref))
+
+    def replaced(part: Column, ref: Column, n: Column) -> Column:
+        valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         return F.when(valid, F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), part))
 
-    parts = F.split(text, "&")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
-    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    one = lambda part: let(F.regexp_extract(part, REFERENCE, 1), lambda ref: let(code(ref), lambda n: replaced(part, ref, n)))
+    joined = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts) - 1), one), ""))
+    return F.when(F.contains(text, F.lit("&")), let(F.split(text, "&"), joined)).otherwise(text)
 
 
 def digest(x: Column) -> Column:
