@@ -23,8 +23,7 @@ def base(text):
 
 def grams(text):
     code = [zlib.crc32(w.encode()) for w in WORD.findall(text or "")]
-    one = [u * 31 + 7 for u in code] + [u * 31 + v * 17 + 7 for u, v in zip(code, code[1:])]
-    return [x % 1000003 * 2654435761 // 65536 % 65536 for x in one]
+    return [u % 65536 for u in code] + [(u * 31 + v) % 65536 for u, v in zip(code, code[1:])]
 
 
 def texts():
