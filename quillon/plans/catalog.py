@@ -14,6 +14,7 @@ from quillon.functions import vectors as V
 from quillon.operators import corpus, knn, logs
 from quillon.operators.ordering import place
 from quillon.sources.tables import table
+from quillon.streaming.rates import sessions as event_sessions
 from quillon.streaming.rates import windowed_over_rate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,6 +456,14 @@ def log_windowed_rate(spark, sf):
     return windowed_over_rate(table(spark, sf, "events"), "user_id", most=1).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@query("log_sessions", """with s as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as fresh from events where ts is not null),
+    g as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as g from s)
+    select user_id, min(ts)::timestamp as start, (max(ts) + interval 6 hour)::timestamp as "end", count(*) as n from g group by user_id, g""")
+def log_sessions(spark, sf):
+    out = event_sessions(table(spark, sf, "events"), "user_id", gap="6 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 @query("log_retention", "with m as (select max(ts) as m from events) select event_type, count(*) as n, min(ts) as first from events, m where ts >= m - interval 10 day group by 1")
 def log_retention(spark, sf):
     e = table(spark, sf, "events")

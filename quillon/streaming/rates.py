@@ -22,6 +22,14 @@ def windowed_over_rate(events: DataFrame, subject: str, ts: str = "ts", most: in
     return windows.where(F.col("n") > most).select(subject, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
+def sessions(events: DataFrame, subject: str, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """subject, start, end, n: events of a subject that follow each other within the gap are one session, which ends a gap after its
+    last event; works on streams and on tables alike."""
+    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+    by = timed.groupBy(subject, F.session_window("_t", gap).alias("window")).agg(F.count("*").alias("n"))
+    return by.select(subject, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+
+
 def stage_stream(fetched: DataFrame, current: Callable[[], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of fetched sections is compared with the open versions; what differs is appended to the queue at out.
 
