@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "language", "near_dup", "packing", "quality", "sharding", "substring_dedup", "toxicity", "url_rules", "warc")
+MODULES = ("bpe", "decontamination", "language", "near_dup", "packing", "quality", "sharding", "substring_dedup", "toxicity", "url_rules", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
