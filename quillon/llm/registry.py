@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "decontamination", "language", "near_dup", "packing", "quality", "sharding", "substring_dedup", "toxicity", "url_rules", "warc", "whitening")
+MODULES = ("bpe", "decontamination", "divergence", "language", "near_dup", "packing", "quality", "sharding", "substring_dedup", "toxicity", "url_rules", "warc", "whitening")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
