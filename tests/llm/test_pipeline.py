@@ -24,11 +24,11 @@ def tables(spark, folder):
         if i % 10 == 5:
             ws[20:20] = bench[i % 5]
         docs.append((i, " ".join(ws)))
-    docs += [(200 + i, docs[i][1] + f" tail{i}aa") for i in range(0, 40, 4)] + [(300 + i, docs[1][1]) for i in range(9)]
+    docs += [(200 + i, docs[i][1] + f" tail{i}aa") for i in range(0, 40, 4)] + [(300 + i, docs[2][1]) for i in range(9)]
     docs += [(400 + i, " ".join(f"{w}$$$" for w in rng.choices(vocab, k=80))) for i in range(15)] + [(500, "too short"), (501, None), (502, "again and again " * 30)]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    # Half of the clean documents are trusted, some of each kind: those with the passage, with items, with copies.
-    spark.createDataFrame([(i, 1, 0) for i in range(120) if i % 4 < 2] + [(300 + i, 1, 0) for i in range(0, 9, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    # Half of the clean documents are trusted, some of each kind but the exact copies, which nobody has labelled.
+    spark.createDataFrame([(i, 1, 0) for i in range(120) if i % 4 < 2], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return docs, bench
 
