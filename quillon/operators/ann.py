@@ -302,6 +302,15 @@ class Graph:
         return self._search(q, near, ef, 0)
 
 
+def _blocks(queries: DataFrame, key: str, vec: str, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    rows = queries.select(key, vec).where(F.col(vec).isNotNull()).dropDuplicates([key])
+    n = -(-rows.count() // most) or 1
+    for k in range(n):
+        part = (rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else rows).toPandas()
+        if len(part):
+            yield part[key].to_numpy(), np.stack(part[vec].to_numpy()).astype(np.float64)
+
+
 class HnswIndex:
     """Graphs of shards as rows of a Parquet table: shard, keys, graph (pickled)."""
 
@@ -344,8 +353,6 @@ class HnswIndex:
         """query_id, key, distance, rank; deleted keys are skipped, and the walk widened until k others are found or max_scan is."""
         from pyspark.sql import Window
 
-        from quillon.operators.knn import _blocks
-
         ef, key, most = max(ef or self.config.ef_search, k + 1), self.key, self.config.max_scan
         graphs = self.spark.read.parquet(self.path)
         if deleted is None:

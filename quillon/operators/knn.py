@@ -1,13 +1,15 @@
-"""Nearest neighbours by exact scan: one query vector, a batch of queries, filters, radius, re-ranking and recall.
+"""Nearest neighbours by exact scan: one query vector, a batch of queries, filters, radius, re-ranking, fusion and recall.
 
-A single query is a projection, a filter and a top-k that Spark keeps by task. A batch multiplies blocks of the data with
-blocks of QUERIES queries in numpy; each slice of 2048 rows keeps its k best of each query, so what is shuffled is not the product. Zero vectors have no cosine
-distance: they come last, as NaN.
+A single query is a projection, a filter and a top-k that Spark keeps by task. A batch is a grid of cells: rows are dealt by their key to
+as many row blocks as keep a block at CELL_NUMBERS numbers, queries to blocks of QUERIES; each cell is a task's group that holds one
+block of either side, multiplies them piece by piece in numpy and keeps its k best of each query. The plan is of the same size
+whatever the number of queries, and nothing but row counts comes to the driver. Each task merges its cells' rows before the
+best k of all cells are ranked. Zero vectors have no cosine distance: they come last, as NaN.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.vectors import DISTANCES
 
-QUERIES = 4096  # in a block: what travels with the tasks is bounded
+QUERIES = 4096  # in a block
+CELL_NUMBERS = 1 << 23  # of a block of rows
+SLICE = 2048  # rows at once
 CELLS, PAIRS = 1 << 22, 1 << 16  # numbers and pairs at once in a task
 
 
@@ -87,45 +91,66 @@ def best(q: np.ndarray, x: np.ndarray, metric: str, k: int, same: np.ndarray) ->
     return i[keep], j[keep], d[keep]
 
 
-def _blocks(queries: DataFrame, key: str, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    rows = queries.select(key, vec).where(F.col(vec).isNotNull()).dropDuplicates([key])
-    n = -(-rows.count() // QUERIES) or 1
-    for k in range(n):
-        part = (rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else rows).toPandas()
-        if len(part):
-            yield part[key].to_numpy(), np.stack(part[vec].to_numpy()).astype(np.float64)
+def _first_k(query: np.ndarray, group: np.ndarray, distance: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k first by (distance, key) of each query and group."""
+    order = np.lexsort((key, distance, group, query))  # numpy sorts NaN last
+    q, g = query[order], group[order]
+    fresh = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])) if len(q) else [])
+    return order[np.arange(len(q)) - np.repeat(fresh, np.diff(np.append(fresh, len(q)))) < k]
 
 
-def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", groups: str | None = None) -> DataFrame:
-    """query_id, key, distance, rank: the k rows nearest to each query but itself; NULL vectors are left out, ties go by key.
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
-    With `groups`, the k nearest of each value of that column.
+
+def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", groups: str | None = None, skip_self: bool = True) -> DataFrame:
+    """query_id, key, distance, rank: the k rows nearest to each query; NULL vectors are left out, ties go by key.
+
+    A row with the query's own key is left out unless skip_self is False. With `groups`, the k nearest of each value of that
+    column. Keys identify rows; of queries with the same key one counts.
     """
     extra = [groups] if groups else []
     rows = df.where(F.col(vec).isNotNull()).select(key, vec, *extra)
-    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra)
-    parts = []
-    for ids, q in _blocks(queries, key, vec):
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, len(b), 2048):
-                    s = b.slice(at, 2048)
-                    mine = s.column(key).to_numpy(zero_copy_only=False)
-                    x = s.column(vec).flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1).astype(np.float64)
-                    of = np.unique(s.column(groups).to_numpy(zero_copy_only=False), return_inverse=True)[1] if groups else np.zeros(len(s), int)
-                    for g in range(of.max() + 1):
-                        rows_ = np.flatnonzero(of == g)
-                        rows_ = rows_[np.argsort(mine[rows_], kind="stable")]
-                        i, j, d = best(q, x[rows_], metric, k, ids[:, None] == mine[rows_][None])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(mine[rows_][j]), pa.array(d)] + [s.column(c).take(pa.array(rows_[j])) for c in extra], ["query_id", key, "distance", *extra])
-
-        parts.append(rows.mapInArrow(run, f"query_id long, {key} long, distance double" + (f", {kind}" if kind else "")))
-    if not parts:
+    some = rows.select(F.size(vec)).first()
+    if some is None:
         return rows.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("distance"), *extra, F.lit(0).alias("rank")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    high, wide = -(-df.count() * some[0] // CELL_NUMBERS) or 1, -(-queries.count() // QUERIES) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+    left = rows.select(block(key, high).alias("_r"), every(wide).alias("_c"), key, vec, *extra)
+    q = queries.where(F.col(vec).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("query_id"), F.col(vec).alias("q"))
+    right = q.select(block("query_id", wide).alias("_c"), every(high).alias("_r"), "query_id", "q")
+
+    def run(x: pa.Table, q: pa.Table) -> pa.Table:
+        ids, found = q["query_id"].to_numpy(), []
+        mine = x[key].to_numpy()
+        of, names = np.zeros(len(x), np.int64), None
+        if groups:
+            coded = x[groups].combine_chunks().dictionary_encode()
+            of, names = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        if len(x) and len(q):
+            order = np.argsort(mine, kind="stable")
+            vectors, targets = _matrix(x[vec], len(x)), _matrix(q["q"], len(q)).astype(np.float64)
+            for at in range(0, len(x), SLICE):
+                slice_ = order[at : at + SLICE]
+                for g in np.unique(of[slice_]):
+                    some = slice_[of[slice_] == g]
+                    same = ids[:, None] == mine[some][None] if skip_self else np.zeros((len(ids), len(some)), bool)
+                    i, j, d = best(targets, vectors[some].astype(np.float64), metric, k, same)
+                    found.append((i, np.full(len(i), g), d, some[j]))
+                if len(found) > 8 * (1 + len(set(of.tolist()) if groups else ())):
+                    i, g, d, j = map(np.concatenate, zip(*found))
+                    keep = _first_k(i, g, d, mine[j], k)
+                    found = [(i[keep], g[keep], d[keep], j[keep])]
+        i, g, d, j = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        keep = _first_k(i, g, d, mine[j], k) if len(i) else np.empty(0, np.int64)
+        columns = [pa.array(ids[i[keep]]), pa.array(mine[j[keep]]), pa.array(d[keep], pa.float64())]
+        if groups:
+            columns.append(names.take(pa.array(np.where(g[keep] < len(names), g[keep], 0), mask=g[keep] >= len(names))))
+        return pa.table(columns, names=["query_id", key, "distance", *extra])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema} | {"query_id": q.schema["query_id"].dataType.simpleString()}
+    out = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(run, ", ".join(f"`{c}` {'double' if c == 'distance' else types[c]}" for c in ("query_id", key, "distance", *extra)))
     rank = F.row_number().over(Window.partitionBy("query_id", *extra).orderBy(F.isnan("distance"), "distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -150,10 +175,11 @@ def tied_recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     return hits.agg((F.least(near, F.col("n")) / F.col("n")).alias("recall")).drop("n")
 
 
-def reciprocal_rank_fusion(rankings: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
-    """key, score: the sum of 1 / (k + rank) over rankings with a column `rank`."""
-    parts = [r.select(key, (1 / (k + F.col("rank"))).alias("part")) for r in rankings]
+def reciprocal_rank_fusion(rankings: Sequence[DataFrame], key: str | Sequence[str], k: int = 60) -> DataFrame:
+    """key, score: the sum of 1 / (k + rank) over rankings with a column `rank`; key may be several columns, such as a query and a row."""
+    keys = [key] if isinstance(key, str) else list(key)
+    parts = [r.select(*keys, (1 / (k + F.col("rank"))).alias("part")) for r in rankings]
     out = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy(key).agg(F.sum("part").alias("score"))
+        out = out.unionByName(p)
+    return out.groupBy(*keys).agg(F.sum("part").alias("score"))
