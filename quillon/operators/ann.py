@@ -1,9 +1,7 @@
-"""Approximate neighbours: inverted lists and sharded layered graphs.
+"""Approximate neighbours by sharded layered graphs, and what they share with inverted lists (ivf).
 
-Inverted lists: centres are fitted on a bounded sample (max(10,000, 50 for each list)), every row is assigned to its nearest
-centre and written under its list, so a search reads the probed lists' folders alone. Layered graphs: every shard of the
-table gets a graph of its own (a shard fits a Python worker, whatever the table's size), a search asks all shards and
-merges exactly. Both leave out NULL vectors and, for cosine, zero vectors. A query of NULL has k rows without a distance.
+Every shard of the table gets a graph of its own (a shard fits a Python worker, whatever the table's size), a search asks all
+shards and merges exactly. NULL vectors and, for cosine, zero vectors are left out.
 
 Half, bit and sparse vectors are indexed by their elements (prepared()): half ones rounded, bits as 0 and 1, sparse ones filled up.
 """
@@ -12,48 +10,29 @@ from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import sparse
 from quillon.functions.vectors import norm, to_half
-from quillon.operators.knn import distances, nearest
-
-
-SALT = 8  # tasks that write one list
+from quillon.operators.knn import distances
 
 
 #: How many dimensions an index takes (of sparse vectors: stored entries), and its metrics.
 LIMITS = {"vector": 2000, "half": 4000, "bit": 64_000, "sparse": 1000}
-IVF_METRICS = {"vector": ("l2", "ip", "cosine"), "half": ("l2", "ip", "cosine"), "bit": ("hamming",)}
 HNSW_METRICS = {"vector": ("l2", "ip", "cosine", "l1"), "half": ("l2", "ip", "cosine", "l1"), "bit": ("hamming", "jaccard"), "sparse": ("l2", "ip", "cosine", "l1")}
 
 
-def _check(kind: str, metric: str, known: dict[str, tuple[str, ...]]) -> None:
+def check(kind: str, metric: str, known: dict[str, tuple[str, ...]]) -> None:
     if metric not in known.get(kind, ()):
         raise ValueError(f"no such index: {kind} by {metric}")
 
 
-@dataclass(frozen=True)
-class IvfConfig:
-    lists: int = 100
-    probes: int = 1
-    max_probes: int | None = None
-    metric: str = "l2"
-    seed: int = 0
-    kind: str = "vector"
-
-    def __post_init__(self):
-        if not 1 <= self.lists <= 32768 or not 1 <= self.probes <= 32768:
-            raise ValueError("lists and probes must be 1 to 32768")
-        _check(self.kind, self.metric, IVF_METRICS)
-
-
 @dataclass(frozen=True)
 class HnswConfig:
     m: int = 16
@@ -69,7 +48,7 @@ class HnswConfig:
             raise ValueError("m must be 2 to 100, ef_construction 4 to 1000, ef_search 1 to 1000")
         if self.ef_construction < 2 * self.m:
             raise ValueError("ef_construction must be 2 * m at least")
-        _check(self.kind, self.metric, HNSW_METRICS)
+        check(self.kind, self.metric, HNSW_METRICS)
 
 
 def prepared(df: DataFrame, vec: str, kind: str) -> DataFrame:
@@ -94,121 +73,6 @@ def indexable(df: DataFrame, vec: str, metric: str) -> DataFrame:
     return out.where(norm(vec) > 0) if metric == "cosine" else out
 
 
-def fit_centres(x: np.ndarray, k: int, spherical: bool, seed: int, rounds: int = 50) -> np.ndarray:
-    """k-means from spread-out starts (each next one drawn with the squared distance to the nearest so far)."""
-    rng = np.random.default_rng(seed)
-    if spherical:
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    if len(x) == 0:
-        raise ValueError("no vectors to fit centres on")
-    k = min(k, len(np.unique(x, axis=0)))
-    centres = [x[rng.integers(len(x))]]
-    near = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < k:
-        centres.append(x[rng.choice(len(x), p=near / near.sum())])
-        near = np.minimum(near, ((x - centres[-1]) ** 2).sum(1))
-    c, old = np.array(centres), None
-    for _ in range(rounds):
-        at = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
-        if old is not None and (at == old).all():
-            break
-        old = at
-        n = np.bincount(at, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(len(x), size=k)])
-        if spherical:
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
-    return c
-
-
-class IvfIndex:
-    """Lists as partition folders of a Parquet table at `path`."""
-
-    def __init__(self, spark: SparkSession, path: str, config: IvfConfig, centres: np.ndarray, vec: str, key: str):
-        self.spark, self.path, self.config, self.centres, self.vec, self.key = spark, path, config, centres, vec, key
-
-    @classmethod
-    def build(cls, df: DataFrame, path: str, config: IvfConfig = IvfConfig(), vec: str = "embedding", key: str = "vec_id") -> IvfIndex:
-        rows = indexable(prepared(df, vec, config.kind), vec, config.metric)
-        most = max(10_000, 50 * config.lists)
-        sample = rows.orderBy(F.xxhash64(key, F.lit(config.seed))).select(vec).limit(most).toPandas()[vec]
-        x = np.stack(sample.to_numpy()).astype(np.float64) if len(sample) else np.empty((0, 1))
-        self = cls(df.sparkSession, path, config, fit_centres(x, config.lists, config.metric in ("ip", "cosine"), config.seed), vec, key)
-        self._write(self._assign(rows), path)
-        return self
-
-    def _write(self, rows: DataFrame, path: str) -> None:
-        """A list is dealt to SALT tasks, so that one that has most rows is not one task's work."""
-        salted = rows.repartition("list_id", F.pmod(F.xxhash64(self.key), F.lit(SALT)))
-        salted.write.mode("overwrite").partitionBy("list_id").parquet(path)
-
-    def _assign(self, rows: DataFrame) -> DataFrame:
-        centres, vec, spherical = self.centres, self.vec, self.config.metric in ("ip", "cosine")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    yield b.assign(list_id=_rank(np.stack(b[vec].to_numpy()).astype(np.float64), centres, spherical).argmin(1).astype(np.int32))
-
-        return rows.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, list_id int")
-
-    def insert(self, df: DataFrame) -> None:
-        self._assign(indexable(prepared(df, self.vec, self.config.kind), self.vec, self.config.metric)).write.mode("append").partitionBy("list_id").parquet(self.path)
-
-    def delete(self, keys: DataFrame, path: str) -> None:
-        """Write the index without these keys to a new path and use that."""
-        left = self.spark.read.parquet(self.path).join(keys.select(self.key), self.key, "left_anti")
-        self._write(left, path)
-        self.path = path
-
-    def lists_near(self, q: Sequence[float]) -> list[int]:
-        return np.argsort(_rank(np.asarray([q], np.float64), self.centres, self.config.metric in ("ip", "cosine"))[0], kind="stable").tolist()
-
-    def search(self, q: Sequence[float], k: int, probes: int | None = None, where: Column | None = None, iterative: bool = False) -> DataFrame:
-        """The k nearest in the probed lists; iterative: more lists, up to max_probes, until k rows pass the filter."""
-        if q is None:
-            rows = self.spark.read.parquet(self.path)
-            return (rows if where is None else rows.where(where)).withColumn("distance", F.lit(None).cast("double")).limit(k)
-        order, n = self.lists_near(q), probes or self.config.probes
-        rows = self.spark.read.parquet(self.path)
-        most = min(self.config.max_probes or len(order), len(order))
-        while True:
-            out = nearest(rows.where(F.col("list_id").isin(order[:n])), q, k, _column_metric(self.config.metric), self.vec, self.key, where)
-            if not iterative or n >= most or out.count() >= k:
-                return out
-            n = min(most, n + self.config.probes)
-
-    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """query_id, key, distance, rank: each query against its own probed lists, by an equi-join on the list."""
-        centres, spherical, n, vec, key, metric = self.centres, self.config.metric in ("ip", "cosine"), probes or self.config.probes, self.vec, self.key, self.config.metric
-
-        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    at = np.argsort(_rank(np.stack(b["q"].to_numpy()).astype(np.float64), centres, spherical), axis=1, kind="stable")[:, :n]
-                    yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), at.shape[1]), "q": np.repeat(b["q"].to_numpy(), at.shape[1]), "list_id": at.ravel().astype(np.int32)})
-
-        probes_ = indexable(prepared(queries, vec, self.config.kind), vec, metric).select(F.col(key).alias("query_id"), F.col(vec).alias("q")).mapInPandas(probe, "query_id long, q array<float>, list_id int")
-        from pyspark.sql import Window
-
-        from quillon.functions.vectors import DISTANCES
-
-        met = probes_.join(self.spark.read.parquet(self.path), "list_id").where(F.col("query_id") != F.col(key))
-        met = met.select("query_id", key, F.round(DISTANCES[_column_metric(metric)](vec, "q"), 9).alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", key)
-        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _column_metric(metric: str) -> str:
-    """Bits are stored as 0 and 1."""
-    return "l1" if metric == "hamming" else metric
-
-
-def _rank(x: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarray:
-    return -(x @ centres.T) if spherical else (centres * centres).sum(1) - 2 * x @ centres.T
-
-
 class Graph:
     """A layered proximity graph over the vectors of one shard."""
 

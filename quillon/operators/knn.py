@@ -37,7 +37,16 @@ def nearest(df: DataFrame, q: Sequence[float], k: int, metric: str = "l2", vec:
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """A row for each query, a column for each vector, in double precision; l1 and l2 by differences, in blocks of bounded size."""
+    """A row for each query, a column for each vector, in double precision; l1 and l2 by differences, in blocks of bounded size.
+
+    Matrices of unsigned numbers are packed bits.
+    """
+    if x.dtype == np.uint64:
+        both = lambda f: sum(np.bitwise_count(f(q[:, w, None], x[None, :, w])).astype(np.float64) for w in range(x.shape[1]))
+        if metric == "hamming":
+            return both(np.bitwise_xor)
+        common, either = both(np.bitwise_and), both(np.bitwise_or)
+        return np.where(common > 0, 1 - common / np.maximum(either, 1), 1.0)
     if metric == "ip":
         return -(q @ x.T)
     if metric == "cosine":
@@ -100,26 +109,16 @@ def _first_k(query: np.ndarray, group: np.ndarray, distance: np.ndarray, key: np
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-
+    whole = column.combine_chunks()
+    packed = pa.types.is_struct(whole.type)
+    x = (whole.field("words") if packed else whole).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return x.view(np.uint64) if packed else x
 
-def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", groups: str | None = None, skip_self: bool = True) -> DataFrame:
-    """query_id, key, distance, rank: the k rows nearest to each query; NULL vectors are left out, ties go by key.
 
-    A row with the query's own key is left out unless skip_self is False. With `groups`, the k nearest of each value of that
-    column. Keys identify rows; of queries with the same key one counts.
-    """
+def in_cells(left: DataFrame, right: DataFrame, on: Sequence[str], k: int, metric: str, vec: str = "embedding", key: str = "vec_id", groups: str | None = None, skip_self: bool = True) -> DataFrame:
+    """left(on, key, vec, groups) and right(on, query_id, q) -> query_id, key, distance, groups: each query's k nearest (of each value of
+    groups) among the rows of its cell. A cell's rows and queries meet in one task, so the caller bounds both."""
     extra = [groups] if groups else []
-    rows = df.where(F.col(vec).isNotNull()).select(key, vec, *extra)
-    some = rows.select(F.size(vec)).first()
-    if some is None:
-        return rows.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("distance"), *extra, F.lit(0).alias("rank")).limit(0)
-    high, wide = -(-df.count() * some[0] // CELL_NUMBERS) or 1, -(-queries.count() // QUERIES) or 1
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
-    left = rows.select(block(key, high).alias("_r"), every(wide).alias("_c"), key, vec, *extra)
-    q = queries.where(F.col(vec).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("query_id"), F.col(vec).alias("q"))
-    right = q.select(block("query_id", wide).alias("_c"), every(high).alias("_r"), "query_id", "q")
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
         ids, found = q["query_id"].to_numpy(), []
@@ -130,15 +129,18 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
             of, names = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         if len(x) and len(q):
             order = np.argsort(mine, kind="stable")
-            vectors, targets = _matrix(x[vec], len(x)), _matrix(q["q"], len(q)).astype(np.float64)
+            exact = lambda m: m if m.dtype == np.uint64 else m.astype(np.float64)
+            vectors, targets = _matrix(x[vec], len(x)), exact(_matrix(q["q"], len(q)))
             for at in range(0, len(x), SLICE):
                 slice_ = order[at : at + SLICE]
-                for g in np.unique(of[slice_]):
-                    some = slice_[of[slice_] == g]
-                    same = ids[:, None] == mine[some][None] if skip_self else np.zeros((len(ids), len(some)), bool)
-                    i, j, d = best(targets, vectors[some].astype(np.float64), metric, k, same)
-                    found.append((i, np.full(len(i), g), d, some[j]))
-                if len(found) > 8 * (1 + len(set(of.tolist()) if groups else ())):
+                for lo in range(0, len(ids), QUERIES):
+                    asked = slice(lo, lo + QUERIES)
+                    for g in np.unique(of[slice_]):
+                        some = slice_[of[slice_] == g]
+                        same = ids[asked, None] == mine[some][None] if skip_self else np.zeros((len(ids[asked]), len(some)), bool)
+                        i, j, d = best(targets[asked], exact(vectors[some]), metric, k, same)
+                        found.append((i + lo, np.full(len(i), g), d, some[j]))
+                if sum(len(f[0]) for f in found) > 8 * k * len(ids) * (len(names) + 1 if groups else 1):
                     i, g, d, j = map(np.concatenate, zip(*found))
                     keep = _first_k(i, g, d, mine[j], k)
                     found = [(i[keep], g[keep], d[keep], j[keep])]
@@ -149,8 +151,30 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
             columns.append(names.take(pa.array(np.where(g[keep] < len(names), g[keep], 0), mask=g[keep] >= len(names))))
         return pa.table(columns, names=["query_id", key, "distance", *extra])
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema} | {"query_id": q.schema["query_id"].dataType.simpleString()}
-    out = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(run, ", ".join(f"`{c}` {'double' if c == 'distance' else types[c]}" for c in ("query_id", key, "distance", *extra)))
+    types = {f.name: f.dataType.simpleString() for f in left.schema} | {"query_id": right.schema["query_id"].dataType.simpleString(), "distance": "double"}
+    met = left.groupBy(*on).cogroup(right.select(*on, "query_id", "q").groupBy(*on))
+    return met.applyInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ("query_id", key, "distance", *extra)))
+
+
+def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "embedding", key: str = "vec_id", groups: str | None = None, skip_self: bool = True) -> DataFrame:
+    """query_id, key, distance, rank: the k rows nearest to each query; NULL vectors are left out, ties go by key.
+
+    Vectors may be packed bits, by hamming or jaccard. A row with the query's own key is left out unless skip_self is False. With `groups`, the k nearest of each value of that
+    column. Keys identify rows; of queries with the same key one counts.
+    """
+    extra = [groups] if groups else []
+    rows = df.where(F.col(vec).isNotNull()).select(key, vec, *extra)
+    some = rows.select(F.size(f"{vec}.words" if rows.schema[vec].dataType.typeName() == "struct" else vec)).first()
+    if some is None:
+        return rows.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("distance"), *extra, F.lit(0).alias("rank")).limit(0)
+    high, wide = -(-df.count() * some[0] // CELL_NUMBERS) or 1, -(-queries.count() // QUERIES) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+    left = rows.select(block(key, high).alias("_r"), every(wide).alias("_c"), key, vec, *extra)
+    q = queries.where(F.col(vec).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("query_id"), F.col(vec).alias("q"))
+    right = q.select(block("query_id", wide).alias("_c"), every(high).alias("_r"), "query_id", "q")
+
+    out = in_cells(left, right, ["_r", "_c"], k, metric, vec, key, groups, skip_self)
     rank = F.row_number().over(Window.partitionBy("query_id", *extra).orderBy(F.isnan("distance"), "distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

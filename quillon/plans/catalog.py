@@ -238,7 +238,7 @@ def _reached(found: DataFrame, exact: DataFrame, floor: float) -> DataFrame:
 
 @query("ivf_recall", "select probes, count(*) as queries, true as reached from embeddings, (select unnest([4, 10, 16]) as probes) where vec_id % 100 = 0 group by probes")
 def ivf_recall(spark, sf):
-    from quillon.operators.ann import IvfConfig, IvfIndex
+    from quillon.operators.ivf import IvfConfig, IvfIndex
     from quillon.sources.tables import scratch_path
 
     e, q = _searches(spark, sf)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import fulltext
+from quillon.functions import vectors as V
+from quillon.operators import fulltext, knn
 from quillon.operators.fulltext import B, K1, UPPER, TextIndex
+from quillon.operators.ivf import IvfConfig, IvfIndex
 from quillon.plans.catalog import _KNN, query
 from quillon.sources.tables import scratch_path, table
 
@@ -58,7 +60,85 @@ def hybrid_search(spark, sf):
     select query_id, vec_id, round(d, 6) as distance, rank from (select *, row_number() over (partition by query_id order by d, vec_id)::int as rank from d) where rank <= 3""")
 def knn_many(spark, sf):
     """The three nearest of every vector."""
-    from quillon.operators.knn import nearest_batch
+    e = table(spark, sf, "embeddings")
+    return knn.nearest_batch(e, e, 3, "l2").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+# Inverted lists.
+
+def _points(spark, sf, dims: int):
+    """A point of the unit cube for each line item, from hashes of its key."""
+    unit = lambda i: (F.pmod(F.xxhash64("vec_id", F.lit(i)), F.lit(1 << 30)) / float(1 << 30)).cast("float")
+    lines = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("vec_id")).distinct()
+    return lines.select("vec_id", F.array(*[unit(i) for i in range(dims)]).alias("embedding"))
+
+
+#: kind, dimensions, metric and the recall that so many probed lists of 100 must reach for 20 neighbours.
+FLOORS = (
+    ("vector", 3, "l2", ((1, 0.71), (10, 0.95), (100, 1.0))),
+    ("half", 10, "l2", ((1, 0.33), (10, 0.93), (100, 1.0))),
+    ("bit", 52, "hamming", ((1, 0.08), (10, 0.5), (100, 1.0))),
+)
+
+
+def _floors(spark, sf, kind, dims, metric, floors):
+    """Recall of the neighbours of every line item of an order whose number is divisible by 3,000."""
+    made = {"vector": F.col("embedding"), "half": V.to_half("embedding"), "bit": V.binary_quantize(F.transform("embedding", lambda x: x - 0.5))}[kind]
+    path = scratch_path(spark, "points")
+    _points(spark, sf, dims).withColumn("embedding", made).write.parquet(path)
+    e = spark.read.parquet(path)
+    q = e.where("vec_id div 8 % 3000 = 0")
+    index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=100, metric=metric, kind=kind))
+    truth = scratch_path(spark, "exact")
+    knn.nearest_batch(e, q, 20, metric).write.parquet(truth)
+    out = None
+    for probes, floor in floors:
+        met = knn.tied_recall(index.search_batch(q, 20, probes), spark.read.parquet(truth))
+        one = met.agg(F.lit(probes).alias("probes"), F.count("*").alias("queries"), (F.avg("recall") >= floor).alias("reached"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+for _kind, _dims, _metric, _list in FLOORS:
+    query(f"ivf_{_kind}_floors", f"select unnest({[p for p, _ in _list]})::int as probes, count(distinct l_orderkey * 8 + l_linenumber) as queries, true as reached from lineitem where l_orderkey % 3000 = 0")(
+        lambda spark, sf, a=(_kind, _dims, _metric, _list): _floors(spark, sf, *a)
+    )
+
+
+_FILTERED = f"""with e as (select vec_id, label, embedding::double[] as x from embeddings), d as (select q.vec_id as query_id, e.vec_id, e.label, q.label as own, round({_KNN['l2']}, 9) as d from e q join e on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id)"""
+
+
+@query("ivf_filtered", f"{_FILTERED} select query_id, vec_id, round(d, 6) as distance, rank from (select *, row_number() over (partition by query_id order by d, vec_id)::int as rank from d where label = 3) where rank <= 10")
+def ivf_filtered(spark, sf):
+    """A filter that few rows pass: queries probe on until they have ten, and up to all lists there is nothing to miss."""
+    e = table(spark, sf, "embeddings")
+    index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=16, probes=16))
+    return index.search_batch(e.where("vec_id % 100 = 0"), 10, where=F.col("label") == 3, iterative=True).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("ivf_filtered_rounds", "select count(*) as queries, 10 as least, true as reached from embeddings where vec_id % 100 = 0")
+def ivf_filtered_rounds(spark, sf):
+    """From one list on: every query gets its ten rows, in rounds of twice as many lists."""
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0")
+    index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=16))
+    found = index.search_batch(q, 10, where=F.col("label") == 3, iterative=True)
+    held = found.groupBy("query_id").count().agg(F.count("*").alias("queries"), F.min("count").cast("int").alias("least"))
+    recall = knn.recall(found, knn.nearest_batch(e.where("label = 3"), q, 10, "l2")).agg((F.avg("recall") >= 0.3).alias("reached"))
+    return held.withColumn("reached", recall.scalar())
+
+
+@query("ivf_partitioned", f"{_FILTERED} select query_id, vec_id, round(d, 6) as distance, rank from (select *, row_number() over (partition by query_id order by d, vec_id)::int as rank from d where label = own) where rank <= 10")
+def ivf_partitioned(spark, sf):
+    """An index laid out by label: each query reads the folders of its own label."""
+    e = table(spark, sf, "embeddings")
+    index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=8, probes=8), partition="label")
+    return index.search_batch(e.where("vec_id % 100 = 0"), 10, by="label").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
 
+@query("ivf_partial", f"{_FILTERED} select query_id, vec_id, round(d, 6) as distance, rank from (select *, row_number() over (partition by query_id order by d, vec_id)::int as rank from d where label in (1, 2)) where rank <= 5")
+def ivf_partial(spark, sf):
+    """An index of the rows of two labels."""
     e = table(spark, sf, "embeddings")
-    return nearest_batch(e, e, 3, "l2").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=8, probes=8), where=F.col("label").isin(1, 2))
+    return index.search_batch(e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions import sparse as S
 from quillon.functions import vectors as V
 from quillon.operators import knn
-from quillon.operators.ann import HnswConfig, HnswIndex, IvfConfig, IvfIndex, prepared
+from quillon.operators.ann import HnswConfig, HnswIndex, prepared
+from quillon.operators.ivf import IvfConfig, IvfIndex
 from quillon.plans.catalog import _REACHED, DIMS, _first, _pairs, query, r6
 from quillon.sources.tables import scratch_path, table
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import knn
-from quillon.operators.ann import HnswConfig, HnswIndex, IvfConfig, IvfIndex
+from quillon.operators.ann import HnswConfig, HnswIndex
+from quillon.operators.ivf import IvfConfig, IvfIndex
 from quillon.sources import tables
 from quillon.streaming.rates import stage_stream, windowed_over_rate
 
