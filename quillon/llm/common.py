@@ -59,6 +59,7 @@ def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     df = df.coalesce(most) if most else df
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,11 +86,16 @@ def release(spark: SparkSession, owner: str = "query") -> None:
         delete(spark, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans of finished jobs, which else pile up until its heap is full, however small they are."""
+    gc.collect()  # what Python let go of is garbage to the JVM only after that
+    spark._jvm.System.gc()
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs whose results are written: its cleaner waits for the JVM's collector."""
-    for _ in range(2):  # what Python let go of is garbage to the JVM only after that
-        gc.collect()
-        spark._jvm.System.gc()
+    for _ in range(2):
+        tidy(spark)
         time.sleep(0.3)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import parts
+from quillon.llm.common import materialise, parts
 
 
 def _kept(df: DataFrame, rows: int) -> DataFrame:
-    return df.coalesce(parts(rows)).checkpoint()
+    return materialise(df, "links", parts(rows))
 
 
 def components(links: DataFrame) -> DataFrame:
