@@ -84,11 +84,42 @@ def with_previous(sections: DataFrame) -> DataFrame:
     return sections.withColumn("previous_text", F.lag("section_text").over(w)).withColumn("previous_valid_from", F.lag("valid_from").over(w))
 
 
-def as_of_join(events: DataFrame, sections: DataFrame, at: str) -> DataFrame:
-    """Each event with the version of its section that was in force on its day: an equi-join on the section, a range on the day."""
-    v = sections.withColumnsRenamed({c: f"_{c}" for c in KEY})
-    day = F.col(at)
-    return events.join(v, (events["act_code"] == v["_act_code"]) & (events["section_number"] == v["_section_number"]) & (v["valid_from"] <= day) & (v["valid_to"].isNull() | (v["valid_to"] > day)), "left").drop("_act_code", "_section_number")
+def as_of_join(events: DataFrame, sections: DataFrame, at: str, part_rows: int = 50_000) -> DataFrame:
+    """Each event with the columns of the version of its section that was in force on its day, NULL if there was none.
+
+    One sorted merge of events and versions: a running last version for each section, in order of day, so the work grows with
+    events and versions, not with their product. Versions of a section do not overlap; of several with the same start the
+    greatest version_no counts. A section of more than part_rows events is cut into ranges of days, and a range that still has
+    more (a day with most of them) by place in the input; each piece gets the versions that hold in its range. The list of such
+    sections and ranges has 20,000 rows or so at most, as part_rows grows with the events, and is broadcast. Events without a day or
+    key take no part in the merge.
+    """
+    size = max(part_rows, events.count() // 10_000)
+    names, own = events.columns, [c for c in sections.columns if c not in KEY]
+    row = events.select(*KEY, F.col(at).cast("date").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_e"))
+    known = F.col("_at").isNotNull() & F.col("act_code").isNotNull() & F.col("section_number").isNotNull()
+    live = row.where(known)
+    big = live.groupBy(*KEY).agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")).where(F.col("_n") > size)
+    width = F.ceil((F.datediff("_hi", "_lo") + 1) / F.ceil(F.col("_n") / size))
+    big = F.broadcast(big.select(*KEY, "_lo", "_hi", width.alias("_width")))
+    piece = lambda day: F.coalesce(F.floor(F.datediff(day, F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
+    live = live.join(big, KEY, "left").withColumn("_range", piece(F.col("_at")))
+    dense = live.where(F.col("_width").isNotNull()).groupBy(*KEY, "_range").agg(F.ceil(F.count("*") / size).alias("_salts")).where(F.col("_salts") > 1)
+    dense = F.broadcast(dense)
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0)).cast("long")
+    live = live.join(dense, [*KEY, "_range"], "left").select(*KEY, "_range", salt.alias("_salt"), "_at", "_e", F.lit(1).alias("_kind"))
+    kept = sections.where(F.col("valid_from").isNotNull()).select(*KEY, F.col("valid_from").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_v"))
+    kept = kept.join(big, KEY, "left")
+    last = F.least(F.coalesce(F.date_sub(F.col("_v.valid_to"), 1), F.col("_hi")), F.col("_hi"))
+    ranges = F.when(F.col("_width").isNull(), F.array(F.lit(0).cast("long"))).when((F.col("_at") <= F.col("_hi")) & (last >= F.col("_lo")), F.sequence(piece(F.greatest("_at", "_lo")), F.greatest(piece(last), piece(F.greatest("_at", "_lo")))))
+    kept = kept.withColumn("_range", F.explode(ranges)).join(dense, [*KEY, "_range"], "left")
+    kept = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("long")))).select(*KEY, "_range", "_salt", "_at", "_v", F.lit(0).alias("_kind"))
+    both = live.unionByName(kept, allowMissingColumns=True)
+    order = Window.partitionBy(*KEY, "_range", "_salt").orderBy("_at", "_kind", "_v.version_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where(F.col("_kind") == 1)
+    holds = F.col("_last.valid_to").isNull() | (F.col("_last.valid_to") > F.col("_at"))
+    found = met.select("_e", F.when(holds, F.col("_last")).alias("_v")).unionByName(row.where(~known).select("_e"), allowMissingColumns=True)
+    return found.select(*[F.col(f"_e.`{c}`") for c in names], *[F.col(f"_v.`{c}`") for c in own])
 
 
 def context(found: DataFrame) -> DataFrame:
@@ -152,6 +183,39 @@ def approve_changes(current: DataFrame, staged: DataFrame, effective: date) -> D
     return upsert(current, new)
 
 
+def approve_linked(current: DataFrame, amendments: DataFrame, staged: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pending changes take effect, each with a link from the version that it replaces and, if an amending act is named, a row for that.
+
+    current: versions with version_id (act:section:version), superseded_by and amended_by; amendments(amendment_id, amending_act, gazette_ref,
+    effective_from, summary); decisions(act_code, section_number, effective_from, amending_act, gazette_ref). A change whose
+    decision names no day, or one not after the open version's start, stays pending. Returns (versions, amendments, staged).
+    """
+    d = decisions.select(*KEY, F.col("effective_from").alias("_from"), F.col("amending_act").alias("_by"), F.col("gazette_ref").alias("_ref"))
+    is_open = F.col("valid_to").isNull()
+    open_ = current.groupBy(*KEY).agg(F.max(F.when(is_open, F.col("valid_from"))).alias("_start"), F.max("version_no").alias("_no"), F.max(F.when(is_open, F.col("marginal_note"))).alias("_note"))
+    chosen = staged.join(d, KEY).where((F.col("status") == "pending") & F.col("_from").isNotNull()).join(open_, KEY, "left")
+    chosen = chosen.where(F.col("_start").isNull() | (F.col("_from") > F.col("_start")))
+    number = F.coalesce(F.col("_no"), F.lit(0)) + 1
+    made_id = F.concat_ws(":", *KEY, number.cast("string"))
+    amendment = F.when(F.col("_by").isNotNull(), F.substring(F.sha2(F.concat_ws("|", "_by", "_ref", F.col("_from").cast("string")).cast("binary"), 256), 1, 16))
+    chosen = chosen.withColumn("_id", made_id).withColumn("_amendment", amendment)
+    fresh = chosen.select(
+        *KEY, number.cast("int").alias("version_no"), F.col("staged_text").alias("section_text"), F.col("_note").alias("marginal_note"), F.col("_from").alias("valid_from"),
+        F.lit(None).cast("date").alias("valid_to"), F.col("_id").alias("version_id"), F.lit(None).cast("string").alias("superseded_by"), F.col("_amendment").alias("amended_by"),
+    )
+    ends = chosen.select(*KEY, F.col("_from"), F.col("_id"))
+    hit = F.col("valid_to").isNull() & F.col("_from").isNotNull()
+    linked = current.join(ends, KEY, "left").withColumn("superseded_by", F.when(hit, F.col("_id")).otherwise(F.col("superseded_by"))).withColumn("valid_to", F.when(hit, F.col("_from")).otherwise(F.col("valid_to")))
+    versions = linked.select(*current.columns).unionByName(fresh, allowMissingColumns=True)
+    rows = chosen.where(F.col("_amendment").isNotNull()).groupBy(F.col("_amendment").alias("amendment_id")).agg(
+        F.first("_by").alias("amending_act"), F.first("_ref").alias("gazette_ref"), F.first("_from").alias("effective_from"), F.concat(F.count("*").cast("string"), F.lit(" sections")).alias("summary")
+    )
+    rows = amendments.unionByName(rows.join(amendments.select("amendment_id"), "amendment_id", "left_anti"))
+    done = chosen.select(*KEY, F.lit(True).alias("_done"))
+    after = staged.join(done, KEY, "left").withColumn("status", F.when(F.col("_done") & (F.col("status") == "pending"), "approved").otherwise(F.col("status"))).drop("_done")
+    return versions, rows, after
+
+
 def snapshot(sections: DataFrame, label: str) -> DataFrame:
     """One row: how many versions are open, and the SHA-256 of their sorted act:section:version:sha256(text) lines.
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
-from quillon.functions.text import section_order
+from quillon.functions.text import category, keywords, section_order
+from quillon.operators.corpus import snapshot_tree, upsert
+from quillon.sources.ledger import Ledger
+from quillon.sources.tables import seed
 
 # Fixed values.
 HEADER_GAZETTE = r"(?:^|\n)(?:[A-Z][^\n]{0,80}\s)?(\d{1,3}[A-Z]{0,2})\.(?=[\sA-Z(])"
@@ -194,15 +199,21 @@ def provenance(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.withColumn("provenance", F.when(F.col("_known").isNull(), "unknown act").when(~F.col("_type").eqNullSafe("act"), "not an act").when(differs, "checksum differs").otherwise("ok")).drop("_type", "_sha", "_known")
 
 
-def bulk_ingest(documents: DataFrame, manifest: DataFrame, valid_from: date, highest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bulk_ingest(documents: DataFrame, manifest: DataFrame, valid_from: date, highest: DataFrame | None = None, keep_longest: bool = False, stage: str | None = None) -> tuple[DataFrame, DataFrame]:
     """All acts at once: provenance, segmentation, verdicts, coverage and the gate.
 
+    keep_longest: of the candidates for a number only the longest is judged, so entries of the contents do not stand against sections.
+    stage: a new path where the judged sections are written, so that texts are parsed once.
+
     Returns the sections to upsert (act_code, section_number, section_text, marginal_note, new_valid_from) of the acts that pass, and
     for every act its error or NULL: one that fails keeps no other from being stored.
     """
     known = provenance(documents, manifest)
     ok = known.where("provenance = 'ok'").drop("provenance")
-    judged = verdicts(segment(ok))
+    judged = verdicts(longest(segment(ok)) if keep_longest else segment(ok))
+    if stage:
+        judged.write.parquet(stage)
+        judged = documents.sparkSession.read.schema(judged.schema).parquet(stage)
     passed = gate(coverage(judged, contents(ok), highest)).select("act_code", F.col("error").alias("_gate"), F.lit(True).alias("_any"))
     out = known.select("act_code", "provenance").join(passed, "act_code", "left")
     error = F.when(F.col("provenance") != "ok", F.col("provenance")).when(F.col("_any").isNull(), "no sections").otherwise(F.col("_gate"))
@@ -211,6 +222,85 @@ def bulk_ingest(documents: DataFrame, manifest: DataFrame, valid_from: date, hig
     return rows, out.select("act_code", error.alias("error"))
 
 
+VERSIONS = "act_code string, section_number string, version_no int, section_text string, marginal_note string, valid_from date, valid_to date"
+
+
+def ingest_into(ledger: Ledger, documents: DataFrame, manifest: DataFrame, valid_from: date, label: str, highest: DataFrame | None = None) -> int:
+    """Bulk ingestion into the ledger's tables: sections, snapshots (label, section_count, checksum) and ingested (act_code, text_sha256, error).
+
+    Acts whose text was stored before are left out, so a rerun, or a run after one that broke off, takes up what is left; one that
+    is stored changes nothing. Acts that fail are noted with their error and tried again next time (without a publication if all
+    fail as they did), and keep no other from being published. All tables appear at once, with a snapshot of the open versions. Returns the number of the publication; that of
+    the last one if there was nothing to do.
+    """
+    spark, base = documents.sparkSession, ledger.manifest()["number"]
+    old = ledger.read("sections")
+    current = old if old is not None else spark.createDataFrame([], VERSIONS)
+    done = ledger.read("ingested")
+    done = done if done is not None else spark.createDataFrame([], "act_code string, text_sha256 string, error string")
+    hashed = documents.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    todo = hashed.join(done.where("error is null").select("act_code", "text_sha256"), ["act_code", "text_sha256"], "left_anti")
+    if todo.isEmpty():
+        return base
+    new, outcome = bulk_ingest(todo.drop("text_sha256"), manifest, valid_from, highest, keep_longest=True, stage=f"{ledger.path}/data/judged-{uuid.uuid4().hex}")
+    noted = todo.select("act_code", "text_sha256").join(outcome, "act_code").select(*done.columns)
+    if noted.exceptAll(done).isEmpty():
+        return base
+    kept = done.join(noted.select("act_code"), "act_code", "left_anti").unionByName(noted.select("act_code", "text_sha256", "error"))
+    staged = f"{ledger.path}/data/staged-{uuid.uuid4().hex}"  # the snapshot is taken of what is stored
+    upsert(current, new).drop("action").write.parquet(staged)
+    after = spark.read.parquet(staged)
+    shots = ledger.read("snapshots")
+    shot = snapshot_tree(after, label)
+    return ledger.publish({"sections": after, "ingested": kept, "snapshots": shot if shots is None else shots.unionByName(shot)}, label, base)
+
+
+#: Fixed values.
+FLAT_HEADER = r"(?:^|\n)\s*(\d{1,3}[A-Z]?)\.\s+(?:\(1\)\s+)?([^\n]{5,200})"
+LINE_HEADER = r"^(\d{1,3}[A-Z]?)\.\s+(.+)"
+FLAT_LEAST, FLAT_TITLE, FLAT_TEXT, FLAT_KEYWORDS = 20, 500, 5000, 10
+
+
+@udtf(returnType="section_number string, title string, section_text string, place int")
+class FlatSections:
+    """The sections of a text by the pattern of their headers: a table function for a lateral join."""
+
+    def eval(self, text: str):
+        heads = list(re.finditer(FLAT_HEADER, text or "", re.MULTILINE))
+        for i, (head, end) in enumerate(zip(heads, [*(m.start() for m in heads[1:]), len(text or "")])):
+            body = re.sub(r"\s+", " ", text[head.start() : end].strip())
+            if len(body) > FLAT_LEAST:
+                yield head.group(1), re.sub(r"\s+", " ", head.group(2).strip())[:FLAT_TITLE], body[:FLAT_TEXT], i
+
+
+def by_lines(documents: DataFrame) -> DataFrame:
+    """act_code, section_number, title, section_text, place: a running header over the lines that are not blank."""
+    lines = documents.select("act_code", F.posexplode(F.split("text", "\n")).alias("at", "raw")).select("act_code", "at", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+    head = F.col("line").rlike(LINE_HEADER)
+    so_far = Window.partitionBy("act_code").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("place", F.sum(head.cast("int")).over(so_far) - 1).where("place >= 0")
+    by = lines.groupBy("act_code", "place").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
+    first = F.col("l")[0]["line"]
+    body = F.array_join(F.transform("l", lambda x: x["line"]), " ")
+    return by.select("act_code", F.regexp_extract(first, LINE_HEADER, 1).alias("section_number"), F.substring(F.regexp_extract(first, LINE_HEADER, 2), 1, FLAT_TITLE).alias("title"), body.alias("section_text"), F.col("place").cast("int"))
+
+
+def flat_ingest(documents: DataFrame, existing: DataFrame) -> DataFrame:
+    """existing(act_code, section_number, title, section_text, keywords, category) and the sections of documents(act_code, text) that it lacks.
+
+    Texts go through the header pattern; those in which it finds nothing through the line parser. Of a number that an act has
+    several times the first counts; what exists is never overwritten. NULL and empty texts have no sections.
+    """
+    parsed = documents.select("act_code", "text").lateralJoin(FlatSections(F.col("text").outer())).select("act_code", "section_number", "title", "section_text", "place")
+    rest = documents.join(parsed.select("act_code").distinct(), "act_code", "left_anti")
+    found = parsed.withColumn("_said", F.concat("title", F.lit(" "), F.substring("section_text", 1, 200)))
+    found = found.unionByName(by_lines(rest).withColumn("_said", F.substring("section_text", 1, 300)).withColumn("section_text", F.substring("section_text", 1, FLAT_TEXT)))
+    first = Window.partitionBy("act_code", "section_number").orderBy("place")
+    found = found.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    made = found.select("act_code", "section_number", "title", "section_text", F.slice(keywords("_said"), 1, FLAT_KEYWORDS).alias("keywords"), category("title").alias("category"))
+    return seed(existing, made, ["act_code", "section_number"])
+
+
 def resolve_valid_from(as_on: Column | str, commenced: Column | str) -> Column:
     """The text's own date, else the act's commencement, else an error: never today."""
     return F.coalesce(F.col(as_on) if isinstance(as_on, str) else as_on, F.col(commenced) if isinstance(commenced, str) else commenced, F.raise_error(F.lit("no date to take valid_from from")).cast("date"))

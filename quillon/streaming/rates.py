@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quillon.operators.corpus import stage_changes
 from quillon.operators.logs import RATE
@@ -40,3 +41,23 @@ def stage_stream(fetched: DataFrame, current: Callable[[], DataFrame], out: str,
         stage_changes(current(), batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return fetched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rates_from_files(spark: SparkSession, source: str, schema: StructType, subject: str, out: str, most: int = RATE, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes", files: int = 1000) -> DataFrame:
+    """windowed_over_rate() as a stream over the Parquet files at source, `files` at a time, to its end; what it found, read back.
+
+    Windows are written when the watermark has passed them, so those of the last hour of events are still open; events of windows
+    that are closed already are too late and do not count. Called again with the same `out`, it goes on where it stopped.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    live = windowed_over_rate(events, subject, most=most, length=length, slide=slide, late=late)
+    run = live.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rates").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(live.schema).parquet(f"{out}/rates")
+
+
+def review_from_files(spark: SparkSession, source: str, current: Callable[[], DataFrame], out: str, files: int = 1000) -> DataFrame:
+    """stage_stream() over the Parquet files at source (act_code, section_number, section_text), to its end; the queue, read back."""
+    fetched = spark.readStream.schema("act_code string, section_number string, section_text string").option("maxFilesPerTrigger", files).parquet(source)
+    stage_stream(fetched, current, f"{out}/queue", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("act_code string, section_number string, staged_text string, summary string, status string").parquet(f"{out}/queue")
