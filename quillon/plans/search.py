@@ -8,6 +8,7 @@ from quillon.functions import vectors as V
 from quillon.operators import fulltext, knn
 from quillon.operators.fulltext import B, K1, UPPER, TextIndex
 from quillon.operators.ivf import IvfConfig, IvfIndex
+from quillon.operators.sparse_search import SparseIndex
 from quillon.plans.catalog import _KNN, query
 from quillon.sources.tables import scratch_path, table
 
@@ -142,3 +143,26 @@ def ivf_partial(spark, sf):
     e = table(spark, sf, "embeddings")
     index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=8, probes=8), where=F.col("label").isin(1, 2))
     return index.search_batch(e.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+# Sparse vectors of many dimensions.
+
+def _term_vectors(spark, sf):
+    """How often each document has each term, in 2 ** 28 dimensions."""
+    words = table(spark, sf, "documents").where("doc_id is not null").select(F.col("doc_id").alias("vec_id"), F.explode(fulltext.terms("text")).alias("term"))
+    index = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 7), 16, 10).cast("int")
+    by = words.groupBy("vec_id", index.alias("index")).agg(F.count("*").cast("float").alias("value"))
+    e = F.sort_array(F.collect_list(F.struct("index", "value")))
+    vector = F.struct(F.lit(1 << 28).alias("dim"), F.transform(e, lambda x: x["index"]).alias("indices"), F.transform(e, lambda x: x["value"]).alias("values"))
+    return by.groupBy("vec_id").agg(vector.alias("embedding"))
+
+
+@query("sparse_top", f"""with w as (select doc_id, unnest({_terms('text')}) as term from documents where doc_id is not null), v as (select doc_id, ('0x' || substr(md5(term), 1, 7))::bigint as i, count(*)::double as x from w group by 1, 2),
+    s as (select q.doc_id as query_id, e.doc_id as vec_id, sum(q.x * e.x) as score from v q join v e on e.i = q.i and e.doc_id <> q.doc_id where q.doc_id % 100 = 0 group by 1, 2)
+    select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 10""")
+def sparse_top(spark, sf):
+    """The ten documents that share most with each whose number is divisible by 100."""
+    path = scratch_path(spark, "terms")
+    _term_vectors(spark, sf).write.parquet(path)
+    e = spark.read.parquet(path)
+    return SparseIndex.build(e, scratch_path(spark, "sparse")).search_batch(e.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "score", "rank")
