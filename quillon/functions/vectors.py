@@ -192,11 +192,11 @@ def binary_quantize(v: Vec) -> Column:
 
 
 def _pack(flags: Column) -> Column:
-    word = lambda at: F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(F.when(F.coalesce(F.get(flags, at * 64 + i), F.lit(False)), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    )
+    """Words of 64 flags, the first one in the highest bit, the last word filled up with zeros; NULL flags are 0."""
     n = F.size(flags)
-    words = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 64).cast("int") - 1, F.lit(0))), word)
+    digits = F.array_join(F.transform(flags, lambda x: F.when(x, "1").otherwise("0")), "")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / 64).cast("int") - 1, F.lit(0)))
+    words = F.transform(starts, lambda at: F.conv(F.rpad(F.substr(digits, at * 64 + 1, F.lit(64)), 64, "0"), 2, -10).cast("long"))
     return F.when(flags.isNotNull(), F.struct(n.alias("len"), words.alias("words")))
 
 

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from quillon.functions.text import section_order
 from quillon.operators import ingest
 from quillon.plans.catalog import query
-from quillon.sources.tables import table
+from quillon.sources.tables import scratch_path, table
 
 NUMBERS = 400
 
 
 def acts(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").where("doc_id is not null")
+    # dealt out, as Python gets a task for each part and the table may be one file
+    d = table(spark, sf, "documents").where("doc_id is not null").repartition(spark.sparkContext.defaultParallelism)
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     d = d.select("doc_id", F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z ,]", "x"))).alias("c"))
     number = lambda i: (i % NUMBERS + 1).cast("string")
@@ -79,7 +80,10 @@ def judged(spark, sf) -> DataFrame:
 
 
 def report(spark, sf) -> DataFrame:
-    return ingest.coverage(judged(spark, sf), ingest.contents(acts(spark, sf)))
+    """Coverage of all acts; they are parsed once."""
+    path = scratch_path(spark, "judged")
+    judged(spark, sf).write.parquet(path)
+    return ingest.coverage(spark.read.parquet(path), ingest.contents(acts(spark, sf)))
 
 
 _md5 = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
@@ -139,7 +143,7 @@ def statute_provenance(spark, sf):
     select act_code, coalesce(error, '') as error, count(case when error is null then section_number end) as sections, coalesce(sum(case when error is null then length(section_text) end), 0)::bigint as chars
     from o left join (select * from ver where verdict = 'accepted') v using (act_code) group by 1, 2""")
 def statute_ingest(spark, sf):
-    sections, outcome = ingest.bulk_ingest(acts(spark, sf), manifest(spark, sf), date(2024, 1, 1))
+    sections, outcome = ingest.bulk_ingest(acts(spark, sf), manifest(spark, sf), date(2024, 1, 1), stage=scratch_path(spark, "judged"))
     by = sections.groupBy("act_code").agg(F.count("*").alias("n"), F.sum(F.length("section_text")).cast("long").alias("c"))
     return outcome.join(by, "act_code", "left").select("act_code", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("n", F.lit(0)).alias("sections"), F.coalesce("c", F.lit(0)).alias("chars"))
 

@@ -49,8 +49,18 @@ def first_non_empty(*frames: DataFrame) -> DataFrame:
     return frames[-1]
 
 
+_scratch: list[str] = []
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what was written to scratch paths so far. Call it only when no result that reads them is still to be computed."""
+    while _scratch:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; where none is set, in a temporary folder if all runs on this machine, else an error."""
+    """A new path, until release_scratch() is called, in the folder that the cluster shares; where none is set, in a temporary folder if all runs on this machine, else an error."""
     import tempfile
     import uuid
 
@@ -59,4 +69,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         place = tempfile.mkdtemp(prefix="quillon-")
-    return f"{place.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{place.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]

@@ -106,6 +106,15 @@ def test_tables(spark, points, tmp_path):
     assert tables.delete_where(old, F.col("k") == 1).count() == 0 and tables.first_non_empty(old.limit(0), new).count() == 2
 
 
+def test_scratch_paths_are_released(spark):
+    path = tables.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    tables.release_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+    tables.release_scratch(spark)
+
+
 def test_streams(spark, tmp_path):
     e = spark.createDataFrame([(1, "2024-01-01 10:00:01"), (1, "2024-01-01 10:20:00"), (1, "2024-01-01 11:20:00"), (2, "2024-01-02 10:00:00")], "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     e.write.parquet(f"{tmp_path}/e")
