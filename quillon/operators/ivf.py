@@ -163,16 +163,19 @@ class IvfIndex:
         near = rows.join(wanted, [*extra, "list_id"], "left_semi").select(*extra, "list_id", "part", self.key, self.vec)
         return in_cells(near, frontier, [*extra, "list_id", "part"], k, self.config.metric, self.vec, self.key)
 
-    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, where: Column | None = None, iterative: bool = False, by: str | None = None) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, where: Column | None = None, iterative: bool = False, by: str | None = None, relaxed: bool = False) -> DataFrame:
         """query_id, key, distance, rank: each query against its own probed lists.
 
-        where: a filter on the index's rows; iterative: queries short of k rows probe on, up to max_probes lists; by: the partition
+        where: a filter on the index's rows; iterative: queries short of k rows probe on, up to max_probes lists; relaxed: what an
+        earlier round has found stands before what a later one finds, as a scan that goes on returns it (knn.strict_order() ranks by
+        distance again); by: the partition
         column, which queries have too: each searches the rows of its own value.
         """
         if by and by != self.partition:
             raise ValueError("by must be the index's partition column")
         n = min(probes or self.config.probes, len(self.centres))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("distance"), "distance", self.key))
+        first = [F.col("_round")] if relaxed and iterative else []
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*first, F.isnan("distance"), "distance", self.key))
         top = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k)
         more = [by] if by else []
         if not iterative:
@@ -183,14 +186,14 @@ class IvfIndex:
         frontier, best, done, number = self.spark.read.parquet(path), None, 0, 0
         active = frontier
         while True:
-            found = self._found(active.where((F.col("place") >= done) & (F.col("place") < n)), k, where, by)
+            found = self._found(active.where((F.col("place") >= done) & (F.col("place") < n)), k, where, by).withColumn("_round", F.lit(number))
             out = scratch_path(self.spark, f"best{number}")
             top(found if best is None else best.drop("rank").unionByName(found)).write.parquet(out)
             best, done, number = self.spark.read.parquet(out), n, number + 1
             if n >= most:
-                return best
+                return best.drop("_round")
             enough = best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
             active = frontier.join(enough, "query_id", "left_anti")
             if active.isEmpty():
-                return best
+                return best.drop("_round")
             n = min(most, 2 * n)

@@ -185,6 +185,11 @@ def rerank(df: DataFrame, q: Sequence[float], coarse: Column, wide: int, k: int,
     return nearest(first, q, k, metric, vec, key)
 
 
+def strict_order(found: DataFrame, key: str = "vec_id") -> DataFrame:
+    """found(query_id, key, distance, rank) ranked by distance, whatever order it came in; the rows stay the same."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("distance"), "distance", key)))
+
+
 def recall(approximate: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
     """query_id, recall: the share of each query's exact neighbours that the approximate ones have."""
     hits = exact.join(approximate.select("query_id", key, F.lit(1).alias("hit")), ["query_id", key], "left")

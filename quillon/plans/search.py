@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
@@ -129,6 +130,19 @@ def ivf_filtered_rounds(spark, sf):
     return held.withColumn("reached", recall.scalar())
 
 
+@query("ivf_relaxed_strict", "select vec_id as query_id, 10::bigint as n, true as same, true as ordered from embeddings where vec_id % 100 = 0")
+def ivf_relaxed_strict(spark, sf):
+    """The rows of a relaxed search in strict order: as many, the same ones, none nearer than the one before it."""
+    e = table(spark, sf, "embeddings")
+    index = IvfIndex.build(e, scratch_path(spark, "ivf"), IvfConfig(lists=16))
+    path = scratch_path(spark, "relaxed")
+    index.search_batch(e.where("vec_id % 100 = 0"), 10, where=F.col("label") == 3, iterative=True, relaxed=True).write.parquet(path)
+    relaxed = spark.read.parquet(path)
+    strict = knn.strict_order(relaxed).withColumn("before", F.lag("distance").over(Window.partitionBy("query_id").orderBy("rank")))
+    both = strict.join(relaxed.select("query_id", "vec_id", F.col("rank").alias("place")), ["query_id", "vec_id"], "left")
+    return both.groupBy("query_id").agg(F.count("*").alias("n"), (F.count("place") == 10).alias("same"), F.every(F.coalesce(F.col("distance") >= F.col("before"), F.col("rank") == 1)).alias("ordered"))
+
+
 @query("ivf_partitioned", f"{_FILTERED} select query_id, vec_id, round(d, 6) as distance, rank from (select *, row_number() over (partition by query_id order by d, vec_id)::int as rank from d where label = own) where rank <= 10")
 def ivf_partitioned(spark, sf):
     """An index laid out by label: each query reads the folders of its own label."""

@@ -111,3 +111,16 @@ def test_bits_stay_packed(spark, tmp_path):
         assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == i] == want
         single = index.search("".join(map(str, bits[i])), 7)
         assert [r.vec_id for r in single.collect()][1:] == want or d[want[0]] == 0
+
+
+def test_relaxed_then_strict(clusters, tmp_path):
+    df, x = clusters
+    index = IvfIndex.build(df, f"{tmp_path}/i", IvfConfig(lists=20))
+    q, rare = df.where("vec_id % 500 = 0"), (F.col("vec_id") % 97 == 5)
+    relaxed = index.search_batch(q, 8, where=rare, iterative=True, relaxed=True)
+    strict = knn.strict_order(relaxed)
+    by = lambda found: {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in found.collect()}
+    a, b = by(relaxed), by(strict)
+    assert {(i, v) for (i, _), v in a.items()} == {(i, v) for (i, _), v in b.items()} and a != b
+    assert all(b[i, k][1] <= b[i, k + 1][1] for i, k in b if (i, k + 1) in b)
+    assert not all(a[i, k][1] <= a[i, k + 1][1] for i, k in a if (i, k + 1) in a)
