@@ -117,11 +117,13 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 
 def in_cells(left: DataFrame, right: DataFrame, on: Sequence[str], k: int, metric: str, vec: str = "embedding", key: str = "vec_id", groups: str | None = None, skip_self: bool = True) -> DataFrame:
     """left(on, key, vec, groups) and right(on, query_id, q) -> query_id, key, distance, groups: each query's k nearest (of each value of
-    groups) among the rows of its cell. A cell's rows and queries meet in one task, so the caller bounds both."""
+    groups) among the rows of its cell. A cell's rows and queries meet in one task, so the caller bounds both; of queries with the same
+    query_id one counts."""
     extra = [groups] if groups else []
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        ids, found = q["query_id"].to_numpy(), []
+        ids, first = np.unique(q["query_id"].to_numpy(), return_index=True)
+        q, found = q.take(first), []
         mine = x[key].to_numpy()
         of, names = np.zeros(len(x), np.int64), None
         if groups:
@@ -167,11 +169,12 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     some = rows.select(F.size(f"{vec}.words" if rows.schema[vec].dataType.typeName() == "struct" else vec)).first()
     if some is None:
         return rows.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("distance"), *extra, F.lit(0).alias("rank")).limit(0)
-    high, wide = -(-df.count() * some[0] // CELL_NUMBERS) or 1, -(-queries.count() // QUERIES) or 1
+    n, m = (r["n"] for r in df.agg(F.count("*").alias("n")).unionAll(queries.agg(F.count("*").alias("n"))).collect())
+    high, wide = -(-n * some[0] // CELL_NUMBERS) or 1, -(-m // QUERIES) or 1
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
     left = rows.select(block(key, high).alias("_r"), every(wide).alias("_c"), key, vec, *extra)
-    q = queries.where(F.col(vec).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("query_id"), F.col(vec).alias("q"))
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(key).alias("query_id"), F.col(vec).alias("q"))
     right = q.select(block("query_id", wide).alias("_c"), every(high).alias("_r"), "query_id", "q")
 
     out = in_cells(left, right, ["_r", "_c"], k, metric, vec, key, groups, skip_self)
