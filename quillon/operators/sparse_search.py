@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from quillon.functions import sparse as S
 from quillon.sources.tables import scratch_path
 
-FOLDERS = 64
+FOLDERS, FOLDER_ROWS = 4096, 1_000_000  # the most folders, and how many postings are worth one
+FILE_ROWS = 5_000_000  # where folders have more, they get several files, each sorted
 PART, MOST_LONG = 50_000, 10_000
 SEEDS = 4  # times k
 
@@ -35,8 +36,8 @@ def _entries(df: DataFrame, vec: str, *keep: Column | str) -> DataFrame:
 class SparseIndex:
     """Postings of sparse vectors at a path."""
 
-    def __init__(self, spark: SparkSession, path: str, vectors: DataFrame, metric: str, key: str, vec: str):
-        self.spark, self.metric, self.key, self.vec, self.vectors = spark, metric, key, vec, vectors
+    def __init__(self, spark: SparkSession, path: str, vectors: DataFrame, metric: str, key: str, vec: str, folders: int):
+        self.spark, self.metric, self.key, self.vec, self.vectors, self.folders = spark, metric, key, vec, vectors, folders
         kind = vectors.schema[key].dataType.simpleString()
         self.postings = spark.read.schema(f"index int, `{key}` {kind}, value double, part int, folder int").parquet(f"{path}/postings")
         self.lists = spark.read.schema("index int, n bigint, most double, least double, parts int").parquet(f"{path}/lists")
@@ -53,14 +54,16 @@ class SparseIndex:
         by = entries.groupBy("index").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("value").alias("least"))
         by.write.mode("overwrite").parquet(f"{path}/counts")
         by = spark.read.schema(by.schema).parquet(f"{path}/counts")
-        size = max(part, (by.agg(F.sum("n")).first()[0] or 0) // MOST_LONG)
+        total = by.agg(F.sum("n")).first()[0] or 0
+        size, folders = max(part, total // MOST_LONG), min(FOLDERS, 1 + total // FOLDER_ROWS)
         parts = F.ceil(F.col("n") / size).cast("int")
         by.withColumn("parts", parts).write.mode("overwrite").parquet(f"{path}/lists")
         dealt = F.broadcast(by.where(F.col("n") > size).select("index", parts.alias("parts")))  # MOST_LONG at most
         dealt = entries.join(dealt, "index", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(key), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-        dealt = dealt.withColumn("folder", F.pmod(F.xxhash64("index"), F.lit(FOLDERS)).cast("int"))
-        dealt.repartition("folder", "part").sortWithinPartitions("index").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-        return cls(spark, path, vectors, metric, key, vec)
+        dealt = dealt.withColumn("folder", F.pmod(F.xxhash64("index"), F.lit(folders)).cast("int"))
+        files = F.pmod(F.xxhash64(key), F.lit(1 + total // (folders * FILE_ROWS)))
+        dealt.repartition("folder", "part", files).sortWithinPartitions("index").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        return cls(spark, path, vectors, metric, key, vec, folders)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query_id, index, weight, bound, place (1: the greatest bound), below: the sum of bounds up to this list, least first."""
@@ -72,7 +75,7 @@ class SparseIndex:
 
     def _met(self, asked: DataFrame) -> DataFrame:
         """query_id, key, part of the score: the rows of the asked lists."""
-        wanted = asked.select("query_id", "index", "weight", F.pmod(F.xxhash64("index"), F.lit(FOLDERS)).cast("int").alias("folder"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        wanted = asked.select("query_id", "index", "weight", F.pmod(F.xxhash64("index"), F.lit(self.folders)).cast("int").alias("folder"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         return self.postings.join(wanted, ["folder", "index", "part"]).select("query_id", self.key, (F.col("weight") * F.col("value")).alias("share"))
 
     def _exact(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:

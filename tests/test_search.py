@@ -32,7 +32,11 @@ def plain(docs, query, k):
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     docs = spark.createDataFrame([(i, t, "x") for i, t in DOCS], "doc_id long, text string, term string").repartition(3)
-    return TextIndex.build(docs, str(tmp_path_factory.mktemp("text")), part=10)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fulltext, "FOLDER_ROWS", 20)
+        made = TextIndex.build(docs, str(tmp_path_factory.mktemp("text")), part=10)
+    assert made.folders > 5
+    return made
 
 
 def test_scores_equal_plain_ones(spark, index):
