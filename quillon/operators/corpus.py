@@ -174,7 +174,7 @@ def reject_changes(staged: DataFrame, rejected: DataFrame) -> DataFrame:
     """rejected(act_code, section_number, reason): pending changes among them become rejected."""
     out = staged.join(rejected, KEY, "left")
     hit = F.col("reason").isNotNull() & (F.col("status") == "pending")
-    return out.withColumn("status", F.when(hit, "rejected").otherwise(F.col("status"))).withColumn("reason", F.when(hit, F.col("reason")))
+    return out.withColumns({"status": F.when(hit, "rejected").otherwise(F.col("status")), "reason": F.when(hit, F.col("reason"))})
 
 
 def approve_changes(current: DataFrame, staged: DataFrame, effective: date) -> DataFrame:

@@ -503,4 +503,4 @@ def rank_fusion(spark, sf):
     return knn.reciprocal_rank_fusion([near, label], "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
-from quillon.plans import listings, search, spaces, statutes, versions  # noqa: E402,F401  register their queries
+from quillon.plans import listings, search, spaces, statutes, texts, versions  # noqa: E402,F401  register their queries

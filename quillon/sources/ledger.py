@@ -2,7 +2,7 @@
 
 Each publication writes its tables to folders of its own, then one small file `manifests/<number>.json`, which is created only if
 no other writer has taken that number. Readers take the greatest number, so they see all tables of a publication or none; what a
-failed writer left is never named. Tables that a publication does not write stay those of the one before it.
+failed writer left is never named. (The file system must create a file without overwriting in one step, as HDFS and local ones do.) Tables that a publication does not write stay those of the one before it.
 """
 
 from __future__ import annotations

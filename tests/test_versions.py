@@ -132,3 +132,9 @@ def test_review_of_a_stream(spark, tmp_path):
     assert run() == [("2", "x")]
     fetch(("A", "1", "new"))
     assert run() == [("1", "new"), ("2", "x")] == run()
+
+
+def test_rejections_keep_their_reason(spark):
+    staged = spark.createDataFrame([("A", "1", "t", "s", "pending"), ("A", "2", "t", "s", "pending"), ("A", "3", "t", "s", "approved")], "act_code string, section_number string, staged_text string, summary string, status string")
+    out = corpus.reject_changes(staged, spark.createDataFrame([("A", "1", "no"), ("A", "3", "late")], "act_code string, section_number string, reason string"))
+    assert sorted((r.section_number, r.status, r.reason) for r in out.collect()) == [("1", "rejected", "no"), ("2", "pending", None), ("3", "approved", None)]
