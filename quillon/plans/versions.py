@@ -120,9 +120,10 @@ _cat = lambda c: "case " + " ".join(f"when {' or '.join(f'''contains(lower({c}),
     e as (select doc_id, unnest(c) as x, generate_subscripts(c, 1) - 1 as i from d), l as (select doc_id, i, case when i % 3 = 1 then ((i // 3) % 700 + 1)::varchar end as no, case when doc_id % 3 = 0 then 'Tab' else 'On ' || {list(_SUBJECTS)}[1 + doc_id % {len(_SUBJECTS)}] || ' ' || x end as title, x from e),
     g as (select *, sum((no is not null)::int) over (partition by doc_id order by i) as g, case when no is null then x else no || '. ' || title end as line from l),
     s as (select doc_id, g, arg_min(no, i) as no, arg_min(title, i) as t, string_agg(line, ' ' order by i) as body from g where g > 0 group by 1, 2),
-    f as (select doc_id, g, no, case when doc_id % 3 = 0 then t else regexp_replace(trim(substr(t, 1, 200)), '\\s+', ' ', 'g') end as title, case when doc_id % 3 = 0 then body else regexp_replace(body, '\\s+', ' ', 'g') end as text from s),
-    p as (select * from f where doc_id % 3 = 0 or length(text) > {ingest.FLAT_LEAST}), r as (select *, row_number() over (partition by doc_id, no order by g) as r from p),
-    m as (select 'F' || doc_id as act_code, no as section_number, title, substr(text, 1, {ingest.FLAT_TEXT}) as section_text, lower(case when doc_id % 3 = 0 then substr(text, 1, 300) else title || ' ' || substr(text, 1, 200) end) as said from r where r = 1)
+    o as (select *, not bool_or(doc_id % 3 <> 0 and length(regexp_replace(body, '\\s+', ' ', 'g')) > {ingest.FLAT_LEAST}) over (partition by doc_id) as by_lines from s),
+    f as (select doc_id, g, no, by_lines, case when by_lines then t else regexp_replace(trim(substr(t, 1, 200)), '\\s+', ' ', 'g') end as title, case when by_lines then body else regexp_replace(body, '\\s+', ' ', 'g') end as text from o),
+    p as (select * from f where by_lines or length(text) > {ingest.FLAT_LEAST}), r as (select *, row_number() over (partition by doc_id, no order by g) as r from p),
+    m as (select 'F' || doc_id as act_code, no as section_number, title, substr(text, 1, {ingest.FLAT_TEXT}) as section_text, lower(case when by_lines then substr(text, 1, 300) else title || ' ' || substr(text, 1, 200) end) as said from r where r = 1)
     select act_code, section_number, title, md5(section_text) as text_md5, array_to_string(list_filter({list(X.TERMS)}, lambda w: contains(said, w))[1:{ingest.FLAT_KEYWORDS}], ',') as keywords, {_cat('title')} as category from m where not (act_code = 'F1' and section_number = '1')
     union all select 'F1', '1', 'kept', md5('kept'), '', 'General'""")
 def flat_ingest(spark, sf):
