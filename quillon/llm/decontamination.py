@@ -1,21 +1,29 @@
 """Benchmark decontamination: documents that hold a benchmark item, up to a few edited words.
 
 Texts are sequences of words (lower case, without marks at the ends). The CGK embedding walks over a sequence with random
-bits: step j emits the word at the current place and moves on if bit j of that word's hash is 1. Every word of a document and
-every word of an item, along its whole length, starts a walk over a window of SPAN words (3 or fewer where span_of() says so)
-in three steps for each word; a walk that reaches the end of its window stays there. All walks are made at once, step by step,
-in numpy. The hash of a window takes all of its steps: windows this short need no sampling, and equal ones always meet.
-
-Nothing within EDIT_RATE is missed, whichever of the item's words are edited: an edit touches at most `span` windows of the
-item, so that of its n - span + 1 windows all but edits * span are in the document unchanged, and their offsets from the item's
-start differ by no more than the edits. Pairs of document and item with fewer such windows (hits_of(), 1 at least) are left
-out. In the others, the edit distance in words between the whole item and the best part of the document around the window, by
-dynamic programming, must be at most EDIT_RATE of the item's words. One pass over whole texts, no shuffle. Items travel with
-the tasks in blocks of MAX_ITEMS at most; more items take more passes.
-
-Defined cases: null or empty texts match nothing; items of fewer than MIN_WORDS words must be there word for word, as with edits
-they would be found in clean text; items without words match nothing; null item_id stays null; repeated items are found each; repeated rows are judged alike; very
-long texts are taken whole, in parts that overlap by a window; empty tables give no matches; extra columns stay, whatever their names.
+bits: step j emits the word at the current place and moves on if bit j of that word's hash is 1. Two sequences within a few edits
+mostly walk in step again soon after each edit, so that their emitted sequences differ in few places (Hamming distance).
+
+Windows. An item of up to WINDOW words is one window; a longer one is cut into equal windows of at most WINDOW words. Of the
+windows of an item with EDIT_RATE of its words edited at least one has no more than that rate, so finding one is enough.
+
+Bit sampling. WALKS walks, with a hash of their own each, start at a window's first word. Of each, KEYS keys are made: the words
+emitted at SAMPLES steps, drawn from a stretch as long as the window. A key that reads past its window's end is left out; the first of each
+walk reads within as many steps as the window has words, so that unchanged windows always meet. Windows and places of a text
+that share one of the WALKS * KEYS keys are candidates. Samples of a size class (SIZES) are the same for items and texts.
+
+Where walks start. Each edit takes two pairs of adjacent words from a window at most, so that c - 1 - 2 * edits of its pairs are left
+within the next c + edits words of a text. Places with fewer pairs that occur in any item start no walk; that
+loses nothing and is a running sum. A phrase that many items share does not make a candidate of each item: a key spans a window.
+
+Verification. The edit distance in words between the whole item and the best part of the document around the candidates, by
+dynamic programming, must be at most EDIT_RATE of the item's words, rounded down, at any length. One pass over whole texts, no
+shuffle. Items travel with the tasks in blocks of MAX_ITEMS at most; more items take more passes.
+
+Defined cases: null or empty texts match nothing; items of fewer than five words must be there word for word, as a fifth of them is no
+word; items without words match nothing; null item_id stays null; repeated items are found each; repeated rows are judged alike; of
+places with equally many edits in one stretch of candidates the first end counts, of stretches the first; very long texts are taken whole;
+empty tables give no matches; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import table
-from quillon.llm.wordhash import MULTIPLIER, WordHashes, mix, split
+from quillon.llm.wordhash import MULTIPLIER, WordHashes, mix, split, times
 
 EDIT_RATE = 0.2
-MIN_WORDS = 8
-SPAN = 4
+WINDOW = 24
+SIZES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 18, 21)
+WALKS = 10
+KEYS = 8
+SAMPLES = 4
 MAX_ITEMS = 20_000
 STEP = 400  # documents at once
-CHUNK = 16_384  # windows at once
+CHUNK = 16_384  # places at once
 MARKS = b".,;:!?\"'()[]{}|*#$%&<>-"
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("edits", T.IntegerType())]))
@@ -58,38 +69,63 @@ def _hashes() -> PlainHashes:
 
 
 def most_edits(n: int) -> int:
-    return int(EDIT_RATE * n) if n >= MIN_WORDS else 0
+    return int(EDIT_RATE * n)
 
 
-def span_of(n: int) -> int:
-    """Words of the windows of an item of n words: SPAN, or as many as stay together after any most_edits(n) edits."""
-    return min(SPAN, -(-(n - most_edits(n)) // (most_edits(n) + 1)))
+def cuts(n: int) -> list[int]:
+    """Where the windows of an item of n words begin, and n."""
+    k = -(-n // WINDOW)
+    return [n * j // k for j in range(k + 1)]
 
 
-def hits_of(n: int) -> int:
-    """The least number of an item's windows that most_edits(n) edits leave as they are."""
-    return max(1, n - span_of(n) + 1 - most_edits(n) * span_of(n))
+@cache
+def samples(size: int, walk: int) -> tuple[tuple[int, ...], ...]:
+    """The steps of each key of a walk over windows of `size` words or a little more."""
+    rng = np.random.default_rng((size, walk))
+    low = [0, *rng.integers(0, max(1, round(0.6 * size)), KEYS - 1)]
+    k = min(SAMPLES, size)
+    return tuple(tuple(sorted(int(x + at) for x in rng.choice(size, k, replace=False))) for at in low)
+
+
+def walk_places(words: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
+    """Row j: where each walk is at step j. `words` must go on for `steps` words after each start."""
+    bits = np.unpackbits(mix(words ^ times(2 * walk + 1)).view(np.uint8)).reshape(-1, 64).T[:steps].copy()
+    at = starts.astype(np.int32)
+    out = np.empty((steps, len(at)), np.int32)
+    for j in range(steps):
+        out[j] = at
+        at = at + bits[j][at]
+    return out
 
 
-def walk_keys(words: np.ndarray, n: int, span: int) -> np.ndarray:
-    """The hashes of the windows of `span` words at the first n places of an array of word hashes."""
-    padded = np.append(words, np.zeros(span, np.uint64))
-    bits = np.unpackbits(mix(padded ^ mix(np.full(1, span, np.uint64))).view(np.uint8)).reshape(-1, 64).T[: 3 * span].copy()
-    emitted = (mix(padded ^ MULTIPLIER) >> np.uint64(32)).astype(np.uint32)
-    at = np.arange(n, dtype=np.int32)
-    end = at + np.int32(span - 1)
-    key = np.full(n, span, np.uint32)
-    for bit in bits:
-        key ^= emitted[at]
-        key *= np.uint32(0x9E3779B1)
-        key ^= key >> np.uint32(15)
-        at += bit[at]
-        np.minimum(at, end, out=at)
+def key_of(words: np.ndarray, places: np.ndarray, some: np.ndarray, steps: tuple[int, ...], salt: int) -> np.ndarray:
+    """The key of the words that some of the walks emit at these steps."""
+    key = np.full(len(some), times(salt))
+    for j in steps:
+        key ^= words[places[j][some]]
+        key *= MULTIPLIER
+        key ^= key >> np.uint64(29)
     return key
 
 
-def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(least edit distance between item and a part of text, where that part starts)."""
+def size_of(c: int) -> int:
+    """The size class of windows of c words."""
+    return max(s for s in SIZES if s <= c)
+
+
+def reach(sizes: list[int]) -> int:
+    """The steps that keys of these size classes read."""
+    return 1 + max(j for s in sizes for w in range(WALKS) for key in samples(s, w) for j in key)
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each word and the next one."""
+    h = (words[:-1] * MULTIPLIER ^ words[1:]) * MULTIPLIER
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def best_match(item: np.ndarray, text: np.ndarray, most: int | None = None) -> tuple[int, int]:
+    """(least edit distance between item and a part of text, where that part starts); more than `most` if that is exceeded."""
     cost, start = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
     place = np.arange(len(text) + 1)
     for i, w in enumerate(item, 1):
@@ -100,36 +136,59 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
         run = np.minimum.accumulate(new - place)  # insertions from the left
         left = np.maximum.accumulate(np.where(new - place == run, place, 0))
         cost, start = run + place, from_[left]
+        if most is not None and i % 16 == 0 and cost.min() > most:  # the least cost never falls
+            return most + 1, 0
     end = int(cost.argmin())
     return int(cost[end]), int(start[end])
 
 
-class Windows:
-    """The windows of `span` words of items, by hash."""
+class Present:
+    """A table of bits: whether a 32-bit hash may be one of the keys."""
+
+    def __init__(self, keys: np.ndarray):
+        size = min(24, max(16, (16 * len(keys)).bit_length()))
+        self.shift = np.uint32(32 - size)
+        self.bits = np.zeros(1 << size, bool)
+        self.bits[keys >> self.shift] = True
 
-    def __init__(self, span: int, items: list[tuple[int, np.ndarray]]):
-        self.span = span
-        count = [len(w) - span + 1 for _, w in items]
-        keys = np.concatenate([walk_keys(w, c, span) for (_, w), c in zip(items, count)])
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.bits[keys >> self.shift]
+
+
+class Windows:
+    """The windows of one size class by the keys of their walks."""
+
+    def __init__(self, size: int, rows: list[tuple[int, int, np.ndarray]]):
+        self.size = size
+        steps = reach([size])
+        length = np.array([len(w) for _, _, w in rows])
+        gap = np.zeros(steps, np.uint64)
+        line = np.concatenate([x for _, _, w in rows for x in (w, gap)])
+        starts = np.cumsum(length + steps) - length - steps
+        keys, which = [], []
+        for walk in range(WALKS):
+            places = walk_places(line, starts, walk, steps)
+            for m, chosen in enumerate(samples(size, walk)):
+                inside = np.flatnonzero(places[chosen[-1]] < starts + length)
+                keys.append(key_of(line, places, inside, chosen, walk * KEYS + m))
+                which.append(inside)
+        keys, which = np.concatenate(keys), np.concatenate(which)
         order = np.argsort(keys, kind="stable")
-        self.item = np.repeat(np.array([n for n, _ in items]), count)[order]
-        self.offset = np.concatenate([np.arange(c) for c in count])[order]
+        self.window = which[order].astype(np.int32)
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
-        size = min(24, max(16, (16 * len(self.keys)).bit_length()))
-        self.shift = np.uint32(32 - size)
-        self.filter = np.zeros(1 << size, bool)
-        self.filter[self.keys >> self.shift] = True
+        self.item = np.array([n for n, _, _ in rows])
+        self.offset = np.array([o for _, o, _ in rows])
+        self.present = Present((self.keys >> np.uint64(32)).astype(np.uint32))
 
-    def hits(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, offset in the item) for equal windows at the first n places."""
-        key = walk_keys(words, n, self.span)
-        at = np.flatnonzero(self.filter[key >> self.shift])
+    def hits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, offset in the item) for windows with the key of a place."""
+        at = np.flatnonzero(self.present((key >> np.uint64(32)).astype(np.uint32)))
         k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
         same = self.keys[k] == key[at]
         at, k = at[same], k[same]
         count = self.first[k + 1] - self.first[k]
-        row = np.repeat(self.first[k + 1] - np.cumsum(count), count) + np.arange(count.sum())
+        row = self.window[np.repeat(self.first[k + 1] - np.cumsum(count), count) + np.arange(count.sum())]
         return np.repeat(at, count), self.item[row], self.offset[row]
 
 
@@ -141,52 +200,95 @@ class Items:
         self.rows = [(i, w) for i, w in made if len(w)]
         self.words = [frozenset(w.tolist()) for _, w in self.rows]
         self.most = np.array([most_edits(len(w)) for _, w in self.rows], np.int64)
-        self.least = np.array([hits_of(len(w)) for _, w in self.rows], np.int64)
-        by: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        lengths = set()
         for n, (_, w) in enumerate(self.rows):
-            by.setdefault(span_of(len(w)), []).append((n, w))
-        self.windows = [Windows(span, items) for span, items in sorted(by.items())]
+            edge = cuts(len(w))
+            for low, high in zip(edge, edge[1:]):
+                by.setdefault(size_of(high - low), []).append((n, low, w[low:high]))
+                lengths.add(high - low)
+        self.windows = [Windows(size, found) for size, found in sorted(by.items())]
+        self.lengths = {size: sorted(c for c in lengths if size_of(c) == size) for size in by}
+        self.steps = reach(list(by)) if by else 0
+        if by:
+            self.pairs = Present(np.unique(np.concatenate([pairs_of(w) for _, w in self.rows])))
+            self.single = np.unique([w[0] for _, w in self.rows if len(w) == 1]).astype(np.uint64)
+
+    def starts(self, line: np.ndarray, edge: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size class whether a walk starts at a place."""
+        flag = np.zeros(len(line) + 2 * WINDOW, bool)
+        flag[: len(line) - 1] = self.pairs(pairs_of(line))
+        flag[edge[1:][edge[1:] > 0] - 1] = False  # pairs across documents
+        sums = np.append(np.int32(0), np.cumsum(flag, dtype=np.int32))
+        out = {}
+        for size, lengths in self.lengths.items():
+            out[size] = np.isin(line, self.single) if size == 1 else np.zeros(len(line), bool)
+            for c in lengths:
+                e = most_edits(c)
+                if c > 1:
+                    out[size] |= sums[c + e - 1 :][: len(line)] - sums[: len(line)] >= c - 1 - 2 * e
+        return out
 
-    def candidates(self, line: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, where the item would start in the line) for pairs with enough equal windows."""
+    def candidates(self, line: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, where the item would start in the line), sorted, each once."""
+        none = (np.empty(0, np.int64),) * 3
+        if not len(line) or not self.windows:
+            return none
+        starts = self.starts(line, edge)
+        every = np.flatnonzero(np.logical_or.reduce(list(starts.values())))
         found = []
-        for low in range(0, len(line), CHUNK):  # parts that stay in the processor's cache
-            for w in self.windows:
-                at, n, offset = w.hits(line[low : low + CHUNK + w.span], min(CHUNK, len(line) - low))
-                found.append((np.searchsorted(edge, at + low, side="right") - 1, n, at + low - offset))
+        for low in range(0, len(every), CHUNK):
+            place = every[low : low + CHUNK]
+            # The words that walks can reach, with all others left out.
+            change = np.zeros(len(line) + 1, np.int32)
+            change[place] += 1
+            np.subtract.at(change, np.minimum(place + self.steps, len(line)), 1)
+            near = np.cumsum(change[:-1]) > 0
+            words = np.append(line[near], np.zeros(self.steps, np.uint64))
+            at = (np.cumsum(near, dtype=np.int32) - 1)[place]
+            chosen = [np.flatnonzero(starts[w.size][place]) for w in self.windows]
+            for walk in range(WALKS):
+                places = walk_places(words, at, walk, self.steps)
+                for w, some in zip(self.windows, chosen):
+                    if len(some):
+                        for m, steps in enumerate(samples(w.size, walk)):
+                            k, n, offset = w.hits(key_of(words, places, some, steps, walk * KEYS + m))
+                            if len(k):
+                                found.append(np.stack([place[some[k]], n, offset]))
         if not found:
-            return []
-        doc, n, start = map(np.concatenate, zip(*found))
-        order = np.lexsort((start, n, doc))
-        doc, n, start = doc[order], n[order], start[order]
-        last = np.arange(len(n)) + self.least[n] - 1
-        inside = np.flatnonzero(last < len(n))
-        last = last[inside]
-        enough = inside[(doc[last] == doc[inside]) & (n[last] == n[inside]) & (start[last] - start[inside] <= self.most[n[inside]])]
-        return sorted(set(zip(doc[enough].tolist(), n[enough].tolist(), start[enough].tolist())))
+            return none
+        at, n, offset = np.concatenate(found, axis=1)
+        doc = np.searchsorted(edge, at, side="right") - 1
+        start = at - offset
+        width = np.int64(len(line) - start.min() + 1)
+        code = np.unique((doc * len(self.rows) + n) * width + start - start.min())
+        doc, n = np.divmod(code // width, len(self.rows))
+        return doc, n, code % width + start.min()
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
         """The matches in each text."""
         words = [_hashes().of(split(t)) for t in texts]
         edge = np.cumsum([0, *map(len, words)])
         line = np.concatenate(words) if words else np.empty(0, np.uint64)
-        seen = self.candidates(line, edge)
+        doc, n, start = self.candidates(line, edge)
+        # Candidates that differ by no more than the edits are one stretch of the text.
+        new = np.append(True, (np.diff(doc) != 0) | (np.diff(n) != 0) | (np.diff(start) > self.most[n[1:]]))[: len(doc)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        listed = line.tolist() if seen else []
-        for doc, n, at in seen:
-            item = self.rows[n][1]
-            most = int(self.most[n])
-            low, high = max(edge[doc], at - most), min(edge[doc + 1], at + len(item) + most)
+        for d, i, a, b in zip(doc[first].tolist(), n[first].tolist(), start[first].tolist(), start[last].tolist()):
+            item, most = self.rows[i][1], int(self.most[i])
+            low, high = max(int(edge[d]), a - most), min(int(edge[d + 1]), b + len(item) + most)
             # An edit takes away one of the item's distinct words at most.
-            if len(self.words[n].intersection(listed[low:high])) < len(self.words[n]) - most:
+            if len(self.words[i].intersection(line[low:high].tolist())) < len(self.words[i]) - most:
                 continue
-            edits, start = best_match(item, line[low:high])
+            edits, at = best_match(item, line[low:high], most)
             if edits <= most:
-                found = (edits, int(low - edge[doc]) + start)
-                best[doc, n] = min(found, best.get((doc, n), found))
+                found = (edits, int(low - edge[d]) + at)
+                best[d, i] = min(found, best.get((d, i), found))
         out: list[list[dict]] = [[] for _ in texts]
-        for (doc, n), (edits, start) in sorted(best.items()):
-            out[doc].append({"item_id": self.rows[n][0], "start": start, "edits": edits})
+        for (d, i), (edits, at) in sorted(best.items()):
+            out[d].append({"item_id": self.rows[i][0], "start": at, "edits": edits})
         return out
 
 

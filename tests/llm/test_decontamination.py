@@ -124,11 +124,51 @@ def test_recall_at_the_edit_rate():
             assert {m["item_id"]: m["edits"] for m in found} == held
 
 
-def test_short_items_match_word_for_word():
-    items = Items([(n, " ".join(f"s{n}x{j}" for j in range(n))) for n in range(1, 8)] + [(90, ""), (91, None)])
-    for n in range(1, 8):
-        ws = [f"s{n}x{j}" for j in range(n)]
-        edits = [] if n == 1 else [["a", *ws[:-1], "b"], ["a", *ws[1:], "b"], [*ws[:1], "new", *ws[1:]], ws[::-1]]
-        whole, *others = items.find([" ".join(["a", "b", *ws, "c"]), *map(" ".join, edits)])
-        assert whole == [{"item_id": n, "start": 2, "edits": 0}] and not any(others)
-    assert items.find(["s3x0 s3x1", "s3x2", "", None]) == [[], [], [], []]
+def test_short_items_keep_to_the_same_rate():
+    rng, vocab, _ = made(7)
+    bench = [rng.choices(vocab, k=n) for n in range(1, 10) for _ in range(6)]
+    items = Items([(i, " ".join(w)) for i, w in enumerate(bench)] + [(90, ""), (91, None)])
+    docs = [[*rng.choices(vocab, k=rng.randint(0, 30)), *edited(rng, w, rate), *rng.choices(vocab, k=rng.randint(0, 30))] for w in bench for rate in (0, 0.2)]
+    docs += [w[1:] for w in bench] + [w[:-1] for w in bench] + [[*w[: len(w) // 2], "new", *w[len(w) // 2 :]] for w in bench]
+    for doc, found in zip(docs, items.find([" ".join(d) for d in docs])):
+        held = {i: e for i, w in enumerate(bench) if (e := plain_distance(w, doc)) <= int(D.EDIT_RATE * len(w))}
+        assert {m["item_id"]: m["edits"] for m in found} == held
+    assert items.find(["", None, " \n"]) == [[], [], []]
+
+
+def test_long_items_and_long_texts():
+    rng, vocab, _ = made(8)
+    vocab = vocab + [f"x{i}" for i in range(5000)]
+    bench = [rng.choices(vocab, k=n) for n in (25, 49, 73, 400)]
+    items = Items([(i, " ".join(w)) for i, w in enumerate(bench)])
+    text = rng.choices(vocab, k=60_000)
+    want = {}
+    for i, w in enumerate(bench):
+        at = 10_000 * (i + 1)
+        text[at:at] = edited(rng, w, 0.18)
+        want[i] = at
+    found = {m["item_id"]: m for m in items.find(["", " ".join(text), None])[1]}
+    assert found.keys() == want.keys()
+    assert all(abs(found[i]["start"] - at) <= int(0.2 * len(bench[i])) and found[i]["edits"] <= int(0.2 * len(bench[i])) for i, at in want.items())
+
+
+def test_a_phrase_of_all_items_makes_no_candidates():
+    rng, vocab, _ = made(9)
+    vocab = [f"x{i}" for i in range(4000)]
+    phrase = "which of the following".split()
+    bench = [[*rng.choices(vocab, k=10), *phrase, *rng.choices(vocab, k=10)] for _ in range(1500)]
+    items = Items([(i, " ".join(w)) for i, w in enumerate(bench)])
+    docs = [[*rng.choices(vocab, k=50), *phrase, *rng.choices(vocab, k=50)] for _ in range(50)]
+    hashed = [D._hashes().of([w.encode() for w in d]) for d in docs]
+    edge = np.cumsum([0, *map(len, hashed)])
+    assert len(items.candidates(np.concatenate(hashed), edge)[0]) == 0
+    assert [[m["item_id"] for m in f] for f in items.find([" ".join(d[:50] + bench[i] + d[50:]) for i, d in enumerate(docs)])] == [[i] for i in range(50)]
+
+
+def test_equal_windows_always_meet():
+    rng = random.Random(10)
+    for n in [*range(1, 30), 47, 48, 49, 100]:
+        w = [f"v{rng.randrange(30)}" for _ in range(n)]
+        items = Items([(1, " ".join(w)), (2, " ".join(w))])
+        found = items.find([" ".join([*x, *w, *y]) for x, y in (([], []), (["a", "b"], ["c"]), (w, w))])
+        assert [[m["item_id"] for m in f if m["edits"] == 0] for f in found] == [[1, 2]] * 3
