@@ -4,8 +4,10 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillon.llm import near_dup
-from quillon.llm.quality import SMOOTHING, THRESHOLD, UNIT, annotate, keep, trusted_ids
+from quillon.llm.quality import PIECE, SMOOTHING, THRESHOLD, UNIT, annotate, judge, keep, trusted_ids, trusted_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,3 +103,38 @@ def test_ratios_do_not_grow_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b c " * 20)], "doc_id long, text string")
     plan = keep(docs, trusted_ids(spark.createDataFrame([(1, 1)], "doc_id long, quality int")))._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 30_000
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted ids than 20,000, in few texts: each of the 25,000 gives its text, whatever the hash of its id."""
+    texts = [" ".join(f"t{k}w{i % 30}" for i in range(60)) for k in range(50)]
+    ids = spark.range(25_000)
+    assert trusted_ids(ids.selectExpr("id as doc_id", "1 as quality")).count() == 25_000
+    # The ids behind the first 20,000 in the old order, pmod(id * 7919, 1000003), alone have the text of `late`.
+    late = [r.id for r in ids.orderBy(F.expr("pmod(id * 7919, 1000003)").desc()).limit(3000).collect()]
+    docs = [(i, texts[i % 49]) for i in range(25_000)]
+    for i in late:
+        docs[i] = (i, texts[49])
+    out = judge(spark.createDataFrame(docs, "doc_id long, text string"), trusted_ids(ids.selectExpr("id as doc_id", "1 as quality")))
+    # All texts are trusted, so the target's counts are the raw ones, less this text's own in both.
+    assert {r.score for r in out.select("quality.score").distinct().collect()} == {0.0}
+    assert trusted_texts(spark.createDataFrame(docs, "doc_id long, text string"), ids.withColumnRenamed("id", "doc_id")).count() == 50
+
+
+def test_texts_of_several_pieces(spark):
+    """Scores of texts at and beyond the number of words that are summed at once, trusted and not."""
+    rng = random.Random(6)
+    made = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (PIECE - 1, PIECE, PIECE + 1, 2 * PIECE + 5, 40, 40)]
+    trusted = {made[0], made[2], made[4]}
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    out = annotate(docs, trusted_ids(spark.createDataFrame([(i, 1) for i in (0, 2, 4)], "doc_id long, quality int"))).collect()
+    raw, target = Counter(), Counter()
+    for t in made:
+        raw.update(grams(t))
+        if t in trusted:
+            target.update(grams(t))
+    scale = sum(target.values()) / sum(raw.values())
+    for r in out:
+        own, g = int(r.text in trusted), grams(r.text)
+        ratio = {b: round(UNIT * math.log((max(target[b] - own, 0) + SMOOTHING) / ((raw[b] - 1) * scale + SMOOTHING))) for b in set(g)}
+        assert abs(r.quality.score - sum(ratio[b] for b in g) / len(g) / UNIT) < 1e-9
