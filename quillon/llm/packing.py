@@ -19,6 +19,7 @@ longer than a sequence spans several, however long it is; an empty table gives n
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quillon.llm.common import materialise, shuffle_partitions, table
 
@@ -45,47 +46,80 @@ class Ids(dict):
     """word -> its ids as bytes of little-endian 16-bit (small vocabularies) or 32-bit numbers.
 
     New words are tokenized together, in one text with a mark between them, which costs half of what one call a word does. A
-    word that ends in a point or comma behind a letter is tokenized without it, as the tokenizer separates letters from
-    marks, and capitals of ASCII words are lowered, as it does itself: fewer words are new.
+    word that ends in ASCII marks behind a letter is tokenized without them, as the tokenizer separates letters from
+    marks, and capitals of words without letters beyond Latin are lowered, as it does itself: fewer words are new. What is left
+    of letters only needs neither normalising nor splitting by patterns, so it goes to the same model without those steps.
     """
 
     MARK = "|"
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    BEYOND = "\u0130"  # below, lower case is one letter's for one letter and nothing combines
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.ascii, self.letters = (Tokenizer(self.tokenizer.model) for _ in range(2))
+        self.ascii.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")  # bytes stand for themselves
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._encode(m).tobytes() for m in ("", ".", ",")}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])  # by id: a word's last
+        self.marks: dict[str, bytes] = {}
         self.mark = self._encode(self.MARK)
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    @staticmethod
-    def core(word: str) -> tuple[str, str]:
-        if word.isascii():
-            word = word.lower()
-        if word[-1:] in (".", ",") and "A" <= word[-2:-1] < "\u0130" and word[-2].isalpha():
-            return word[:-1], word[-1]
-        return word, ""
+    def _encode(self, text: str, tokenizer: Tokenizer | None = None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    @classmethod
+    def core(cls, word: str) -> str:
+        """The word without the marks that can be cut off its end, in lower case where that is safe."""
+        if word.isascii() and word.isalpha():
+            return word.lower()
+        if "<|" in word:  # perhaps a special token, which is found in the text as it is
+            return word
+        core = word.rstrip(cls.MARKS)
+        if not ("A" <= core[-1:] < cls.BEYOND and core[-1].isalpha()):
+            core = word
+        return core.lower() if core.isascii() or max(core) < cls.BEYOND else core
 
     def learn(self, words: set[str]) -> None:
         parts = {w: self.core(w) for w in words}
-        new = {c for c, _ in parts.values()}.difference(self.cores)
+        new = set(parts.values()).difference(self.cores)
         odd = [c for c in new if self.MARK in c or "<|" in c or not c] if len(self.mark) == 1 else list(new)
         for c in odd:
             self.cores[c] = self._encode(c).tobytes()
-        plain = list(new.difference(odd))
-        for at in range(0, len(plain), CHUNK):
-            some = plain[at : at + CHUNK]
-            ids = self._encode(f" {self.MARK} ".join(some))
-            cut = np.flatnonzero(ids == self.mark[0])
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            for c, start, stop in zip(some, [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)], strict=True):
-                self.cores[c] = raw[start:stop]
-        for w, (c, mark) in parts.items():
-            self[w] = self.cores[c] + self.marks[mark]
+        new.difference_update(odd)
+        some = [c for c in new if c.isalpha()] if self.ends.any() else []
+        ascii_ = [c for c in some if c.isascii()]
+        latin = [c for c in some if not c.isascii() and max(c) < self.BEYOND]
+        for words_, tokenizer in ((ascii_, self.ascii), (latin, self.letters)):
+            for some, ids in self._together(words_, " ", tokenizer):
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                self._cut(some, ids, np.concatenate([[0], stop[:-1]]), stop)
+        for some, ids in self._together(list(new.difference(ascii_, latin)), f" {self.MARK} ", self.tokenizer):
+            at = np.flatnonzero(ids == self.mark[0])
+            self._cut(some, ids, np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]]))
+        for w, c in parts.items():
+            ids = self.cores[c]
+            if len(c) < len(w):
+                mark = w[len(c) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self._encode(mark).tobytes()
+                ids += self.marks[mark]
+            self[w] = ids
+
+    def _together(self, words: list[str], between: str, tokenizer: Tokenizer) -> Iterator[tuple[list[str], np.ndarray]]:
+        for at in range(0, len(words), CHUNK):
+            some = words[at : at + CHUNK]
+            yield some, self._encode(between.join(some), tokenizer)
+
+    def _cut(self, words: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        for c, start, stop in zip(words, (starts * size).tolist(), (stops * size).tolist(), strict=True):
+            self.cores[c] = raw[start:stop]
 
     def of(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and the end mark."""
@@ -93,6 +127,8 @@ class Ids(dict):
             self.clear()
         if len(self.cores) > CACHE:
             self.cores.clear()
+        if len(self.marks) > CACHE:
+            self.marks.clear()
         lists = [(t or "").replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*lists).difference(self))
         last = np.array([end], self.dtype).tobytes()
@@ -190,10 +226,9 @@ def pack(docs: DataFrame, room: int = ROOM, path: str = TOKENIZER, end: int = EN
     for r in sorted(placed.groupBy("range").agg(F.sum("n").alias("n")).collect()):  # a number for each range
         base[r["range"]] = place
         place += r["n"]
-    size = np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4").itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, at = None, 0
+        current, at, kind = None, 0, _ids(path).dtype
         for whole in batches:
             for first in range(0, len(whole), 500):
                 out: list[list] = [[] for _ in range(7)]
@@ -201,7 +236,7 @@ def pack(docs: DataFrame, room: int = ROOM, path: str = TOKENIZER, end: int = EN
                 for doc, range_, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "range", "n", "ids"))):
                     if range_ != current:
                         current, at = range_, base[range_]
-                    wide = np.frombuffer(ids, f"<u{size}").astype("<u4")
+                    wide = np.frombuffer(ids, kind).astype("<u4")
                     start = 0
                     while start < n:
                         length = min(n - start, room - at % room)

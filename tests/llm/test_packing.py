@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-from quillon.llm.packing import TOKENIZER, digest, hilbert, pack
+from quillon.llm.packing import TOKENIZER, Ids, digest, hilbert, pack
 
 
 def test_hilbert_is_a_walk_over_all_cells():
@@ -51,3 +51,14 @@ def test_copies_are_neighbours(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_words_are_those_of_texts():
+    """Letters, capitals, marks at ends, special tokens in either case, and every letter beside marks, by words and by the library."""
+    kept = Ids(TOKENIZER)
+    letters = "".join(c for c in map(chr, range(33, 0x250)))
+    texts = ["Word### word. WORD!!! don't DON'T' it's. 's. x'S ÉÈ.### Straße& İx. ΣΑΣ. Σ, nﬁ.", "<|ENDOFTEXT|> <|endoftext|>. a<|endoftext|>### a<|b. |a| |. a|. <| a<|"]
+    texts += [" ".join(f"{c} a{c} {c}a {c}. A{c}|> {c}A'" for c in letters), "e\u0301. a\u0338= =\u0338 a=\u0338 x\t. \r. .\x0b, 12. 1a. a1### ª. º, µ"]
+    for t, ids in zip(texts, kept.of(texts, 2)):
+        assert np.frombuffer(ids, kept.dtype).tolist() == [*kept.tokenizer.encode(t, add_special_tokens=False).ids, 2], t[:60]
+    assert len(Ids(TOKENIZER).of(["word word. word### Word!!!"], 2)[0]) and "word" in kept.cores and "word###" not in kept.cores
