@@ -31,3 +31,7 @@ def test_statute_contents(spark, odd):
 
 def test_statute_ingest(spark, odd):
     same(spark, odd, "statute_ingest")
+
+
+def test_section_gate(spark, odd):
+    same(spark, odd, "section_gate")
