@@ -35,3 +35,7 @@ def test_statute_ingest(spark, odd):
 
 def test_section_gate(spark, odd):
     same(spark, odd, "section_gate")
+
+
+def test_section_verdicts(spark, odd):
+    same(spark, odd, "section_verdicts")
