@@ -124,3 +124,35 @@ def test_relaxed_then_strict(clusters, tmp_path):
     assert {(i, v) for (i, _), v in a.items()} == {(i, v) for (i, _), v in b.items()} and a != b
     assert all(b[i, k][1] <= b[i, k + 1][1] for i, k in b if (i, k + 1) in b)
     assert not all(a[i, k][1] <= a[i, k + 1][1] for i, k in a if (i, k + 1) in a)
+
+
+@pytest.mark.parametrize("dims", [3, 10, 20, None])
+def test_bars_lose_nothing_and_spare_pairs(monkeypatch, dims):
+    """The k nearest by bars are those of a scan, ties by key included, and few pairs are compared where boxes tell pieces apart."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    x = rng.random((n, dims)).astype(np.float32).astype(float) if dims else rng.integers(0, 1 << 52, (n, 1)).astype(np.uint64)
+    x[::9] = x[0]
+    keys = rng.permutation(n) * 3
+    ids = np.sort(keys[:60])
+    at = {int(k): i for i, k in enumerate(keys)}
+    q, asked, within = np.stack([x[at[int(i)]] for i in ids]), [], knn._within
+    monkeypatch.setattr(knn, "_within", lambda q, x, *more: (asked.append(len(q) * len(x)), within(q, x, *more))[1])
+    for skip in (True, False):
+        i, j, d = knn._by_bars(q, ids, x, keys, 9, skip)
+        for a in range(len(q)):
+            whole = knn.distances(q[a : a + 1], x, "l2" if dims else "hamming")[0].round(9)
+            want = [int(t) for t in np.lexsort((keys, whole)) if not (skip and keys[t] == ids[a])][:9]
+            assert j[i == a].tolist() == want and d[i == a].tolist() == whole[want].tolist()
+    if dims == 3:
+        assert sum(asked) < 2 * len(q) * n / 3
+
+
+def test_halves_are_rounded_to_even(spark):
+    whole = np.arange(1 << 16).astype(np.uint16).view(np.float16).astype(np.float32)
+    whole = whole[np.isfinite(whole)]
+    between = ((whole[:-1].astype(float) + whole[1:]) / 2).astype(np.float32)
+    x = np.concatenate([whole, between, np.nextafter(between, np.float32(1e9)), np.nextafter(between, np.float32(-1e9))])
+    x = x[np.abs(x) < 65504]
+    got = spark.createDataFrame([(x.tolist(),)], "v array<float>").select(V.to_half("v")).first()[0]
+    assert (np.array(got, np.float32) == x.astype(np.float16).astype(np.float32)).all()
