@@ -70,7 +70,9 @@ class IvfIndex:
         spark = df.sparkSession
         rows = _stored(df if where is None else df.where(where), vec, config)
         most, sample = max(10_000, 50 * config.lists), f"{path}-sample"
-        rows.orderBy(F.xxhash64(key, F.lit(config.seed))).select(vec).limit(most).write.mode("overwrite").parquet(sample)
+        # rows are taken as they came and prepared then: only a condition on their length needs all of them prepared
+        few = (rows if config.metric == "cosine" else (df if where is None else df.where(where)).where(F.col(vec).isNotNull())).orderBy(F.xxhash64(key, F.lit(config.seed))).limit(most)
+        (few if config.metric == "cosine" else _stored(few, vec, config)).select(vec).write.mode("overwrite").parquet(sample)
         sampled = spark.read.schema(rows.select(vec).schema).parquet(sample)
         centres = kmeans.fit(sampled, vec, config.lists, config.space, config.seed)
         self = cls(spark, path, config, centres, np.ones(len(centres), np.int64), vec, key, partition)
