@@ -156,3 +156,14 @@ def test_halves_are_rounded_to_even(spark):
     x = x[np.abs(x) < 65504]
     got = spark.createDataFrame([(x.tolist(),)], "v array<float>").select(V.to_half("v")).first()[0]
     assert (np.array(got, np.float32) == x.astype(np.float16).astype(np.float32)).all()
+
+
+def test_probing_on_does_not_stop_at_the_first_list_that_has_enough(clusters, tmp_path):
+    """A filter that many rows pass: one list has k of them, but not the nearest."""
+    df, x = clusters
+    rng = np.random.default_rng(9)
+    spread = df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 24)))], "vec_id long, embedding array<float>")
+    index = IvfIndex.build(spread, f"{tmp_path}/i", IvfConfig(lists=16))
+    q, half = spread.where("vec_id % 100 = 0"), F.col("vec_id") % 2 == 1
+    exact = knn.nearest_batch(spread.where(half), q, 10, "l2")
+    assert knn.recall(index.search_batch(q, 10, where=half, iterative=True), exact).agg(F.avg("recall")).first()[0] > 0.9
