@@ -214,7 +214,8 @@ class HnswIndex:
         self.path = path
 
     def search_batch(self, queries: DataFrame, k: int, ef: int | None = None, deleted: DataFrame | None = None, vec: str = "embedding") -> DataFrame:
-        """query_id, key, distance, rank; deleted keys are skipped, and the walk widened until k others are found or max_scan is."""
+        """query_id, key, distance, rank; deleted keys are skipped. A shard's walk starts with ef and is widened twice as far until that
+        finds k others and none nearer than the walk before, or max_scan; so recall does not fall as shards grow."""
         from pyspark.sql import Window
 
         ef, key, most = max(ef or self.config.ef_search, k + 1), self.key, self.config.max_scan
@@ -232,12 +233,13 @@ class HnswIndex:
                     for row in b.itertuples():
                         graph, keys, gone, out = pickle.loads(row.graph), row.keys, frozenset(row.gone), []
                         for i, v in zip(ids, q):
-                            wide = ef
+                            wide, before = ef, None
                             while True:
                                 found = [(keys[j], d) for d, j in graph.search(v, wide) if keys[j] != i and keys[j] not in gone]
-                                if len(found) >= k or wide >= min(most, len(keys)):
+                                near = [d for _, d in found[:k]]
+                                if wide >= min(most, len(keys)) or len(near) >= k and near == before:
                                     break
-                                wide *= 2
+                                wide, before = 2 * wide, near
                             out += [(i, j, round(d, 9)) for j, d in found[:k]]
                         yield pd.DataFrame(out, columns=["query_id", key, "distance"])
 

@@ -90,6 +90,14 @@ def test_hnsw(spark, points, tmp_path):
         HnswConfig(m=40)
 
 
+def test_recall_does_not_fall_as_shards_grow(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    wide = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 48)))], "vec_id long, embedding array<float>")
+    index = HnswIndex.build(wide, f"{tmp_path}/w", HnswConfig(ef_search=10), shards=1)
+    q = wide.where("vec_id % 50 = 0")
+    assert knn.recall(index.search_batch(q, 20), knn.nearest_batch(wide, q, 20, "l2")).agg(F.avg("recall")).first()[0] > 0.98
+
+
 def test_equal_vectors_are_all_found(spark, tmp_path):
     same = spark.createDataFrame([(i, [1.0, 1.0, 1.0]) for i in range(20)], "vec_id long, embedding array<float>")
     index = HnswIndex.build(same, f"{tmp_path}/h", HnswConfig(ef_search=1), shards=1)
