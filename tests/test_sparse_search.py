@@ -68,3 +68,25 @@ def test_empty_and_refused(spark, tmp_path):
     assert index.search_batch(df, 3).count() == 0
     with pytest.raises(ValueError):
         SparseIndex.build(df, f"{tmp_path}/x", "l2")
+
+
+@pytest.mark.parametrize("share", [0, 2])
+def test_scan_and_postings_agree(spark, tmp_path, monkeypatch, share):
+    """Queries that share many lists with most rows, and a cap that each block keeps: by products of whole vectors, and by postings."""
+    from quillon.operators import sparse_search
+
+    monkeypatch.setattr(sparse_search, "SHARE", share)
+    monkeypatch.setattr(sparse_search, "BLOCK", 300)
+    monkeypatch.setattr(sparse_search, "ENTRIES", 40)
+    met = []
+    scanned = SparseIndex._scanned
+    monkeypatch.setattr(SparseIndex, "_scanned", lambda *a: (met.append(1), scanned(*a))[1])
+    rows = made(5, 200)
+    df = frame(spark, rows)
+    got = {}
+    for r in SparseIndex.build(df, f"{tmp_path}/s").search_batch(df.where("vec_id % 10 = 0"), 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score))
+    assert len(met) == (share == 0)
+    for q in rows:
+        if q[0] % 10 == 0 and q[1]:
+            assert [s for _, s in sorted(got.get(q[0], []))] == pytest.approx([s for _, s in plain(rows, q, 4, False)], abs=2e-6)
